@@ -68,7 +68,7 @@ SQL = {
        from named where batch_id % 2 = 1) a where r = 1 and not exists (select 1 from named b where b.batch_id % 2 = 0 and b.source = a.source and b.k = a.k and b.k <> '')""",
     "p2_trailing": """
 with bars as (select distinct feed_id, ts, volume, close from daily_candles),
- daily as (select feed_id, cast(ts as date) as day, sum(cast(volume as decimal(28,8))) as v, sum(cast(close as decimal(28,12))) as c, count(close) as nc, count(*) as n from bars group by all),
+ daily as (select feed_id, cast(ts as date) as day, sum(cast(cast(volume as varchar) as decimal(28,8))) as v, sum(cast(cast(close as varchar) as decimal(28,12))) as c, count(close) as nc, count(*) as n from bars group by all),
  ends as (select feed_id, min(day) as a, max(day) as b from daily group by 1),
  days as (select feed_id, cast(unnest(generate_series(a, b, interval 1 day)) as date) as day from ends),
  w as (select d.feed_id, d.day, coalesce(n, 0) as bars, coalesce(v, 0) as v, coalesce(c, 0) as c, coalesce(nc, 0) as nc from days d left join daily using (feed_id, day))
