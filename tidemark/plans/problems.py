@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.deliveries import first_deliveries, new_messages, repeated_deliveries
+from tidemark.operators.outliers import implausible_bars
 from tidemark.operators.periods import covered_periods, trade_intervals
 from tidemark.operators.regular import regular_grid
 from tidemark.operators.trailing import trailing_periods
@@ -29,6 +30,14 @@ def p2_trailing(spark: SparkSession, d: str) -> DataFrame:
     return trailing_periods(table(spark, d, "daily_candles"))
 
 
+def p3_flags(spark: SparkSession, d: str) -> DataFrame:
+    return implausible_bars(table(spark, d, "hourly_candles"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_flags(spark, d).select("candle_id").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     days = trade_intervals(table(spark, d, "trades"), table(spark, d, "backtest_runs"), table(spark, d, "tokens"))
     spans = covered_periods(days, ["run_id", "symbol"])
@@ -44,7 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.where("missing").select("feed_id", F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_new_batches, p2_trailing, p4_found, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_new_batches, p2_trailing, p3_found, p3_flags, p4_found, p5_found, p5_grid)}
 
 _ID = r"""
 with typed as (
