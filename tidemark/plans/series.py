@@ -40,7 +40,7 @@ def bars_monthly(spark, d):
 
 
 def closed_bars(spark, d):
-    return rounded(B.closed_bars(shipped(spark, d), AS_OF), 5)
+    return B.closed_bars(shipped(spark, d), AS_OF)
 
 
 def upsert_keep_last(spark, d):
@@ -148,8 +148,8 @@ def regime_classify(spark, d):
 def regime_scan_pivot(spark, d):
     """Weekly snapshots of the regime, counted for each symbol."""
     rows = S.classified(hourly(spark, d)).where("regime is not null")
-    last = rows.groupBy("symbol", F.date_trunc("week", "ts").alias("week")).agg(F.max_by("regime", "ts").alias("regime"))
-    return last.groupBy("symbol").pivot("regime", ["BULL", "BEAR", "RANGE", "MIXED"]).agg(F.count("*")).fillna(0)
+    last = rows.groupBy("symbol", F.date_trunc("week", "ts").alias("week")).agg(F.max_by("regime", "ts").alias("regime"), F.max("ts").alias("ts"))
+    return last.groupBy("symbol").pivot("regime", ["BULL", "BEAR", "NEUTRAL", "TRANSITION", "RANGE"]).agg(F.count("ts")).fillna(0)
 
 
 def rank_by_rsi_topn(spark, d):
@@ -185,7 +185,7 @@ _RE = """select symbol, date_trunc('{u}', ts)::timestamp as ts, round(arg_min(op
 _W = "window w as (partition by symbol order by ts)"
 # one row a bar with everything the recurrences take
 _STEPS = f"""with recursive {H}, p as (select *, row_number() over w - 1 as i, lag(close) over w as pc, lag(high) over w as ph, lag(low) over w as pl from bars {_W}),
- s as (select symbol, ts, i, close, coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), 0) as tr,
+ s as (select symbol, ts, i, close, case when pc is null then 0 else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr,
    case when high - ph > pl - low and high - ph > 0 then high - ph else 0 end as dp, case when pl - low > high - ph and pl - low > 0 then pl - low else 0 end as dm,
    greatest(coalesce(close - pc, 0), 0) as g, greatest(coalesce(pc - close, 0), 0) as l from p)"""
 
@@ -203,8 +203,12 @@ _DX = "case when pdi + mdi > 0 then 100 * abs(pdi - mdi) / (pdi + mdi) else 0 en
 _RSI100 = "100 - 100 / (1 + case when l > 0 then g / l else 100 end)"
 
 
-def _r(x: str, n: int = 6) -> str:
-    return f"round({x}, {n})"
+_DIRECTIONAL = f"""{_STEPS}, {_chain('k', 's', ('tr', 'dp', 'dm'), 14, 1, 14)}, q as (select symbol, i, {_DI} from k), y as (select *, {_DX} from q),
+   x as (select s.symbol, s.i, coalesce(dx, 0) as dx from s left join y using (symbol, i)), {_chain('a', 'x', ('dx',), 14, 1, 14)}, {_chain('g', 's', ('g', 'l'), 8, 1, 8)},
+   v as (select s.symbol, s.ts, case when s.i < 14 then 0 else pdi end as pdi, case when s.i < 14 then 0 else mdi end as mdi, a.dx as adx, case when s.i > 8 then {_RSI100.replace("l > 0", "g.l > 0").replace("then g / l", "then g.g / g.l")} end as rsi
+     from s left join q using (symbol, i) left join a using (symbol, i) left join g using (symbol, i)) """
+_LABEL = """case when adx >= 28.92 and abs(pdi - mdi) >= 5.47 and pdi > mdi and rsi > 56.4 then 'BULL' when adx >= 28.92 and abs(pdi - mdi) >= 5.47 and pdi < mdi and rsi < 48.08 then 'BEAR'
+   when adx >= 28.92 then 'NEUTRAL' when adx > 19.02 then 'TRANSITION' when adx <= 19.02 then 'RANGE' end"""
 
 
 _REGIME = f"""m as (select *, case when count(*) over a = 40 then avg(close) over a end as m from bars window a as (partition by symbol order by ts rows between 39 preceding and current row)),
@@ -218,7 +222,7 @@ SQL = {
     "bars_daily": f"with {H} " + _RE.format(u="day"),
     "bars_weekly": f"with {D} " + _RE.format(u="week") + f" having date_trunc('week', ts) + interval 7 day <= timestamp '{AS_OF}'",
     "bars_monthly": f"with {D} " + _RE.format(u="month") + f" having date_trunc('month', ts) + interval 1 month <= timestamp '{AS_OF}'",
-    "closed_bars": f"with {D} select symbol, ts, {SIX.replace(', 6)', ', 5)')} from bars where ts < timestamp '{AS_OF}'",
+    "closed_bars": f"with {D} select symbol, ts, open, high, low, close, volume from bars where ts < timestamp '{AS_OF}'",
     "upsert_keep_last": f"with {H} select symbol, ts, {SIX.replace('round(volume, 6)', 'case when hour(ts) % 3 = 0 then volume + 1 else volume end')} from bars",
     "cache_status": f"""with {D}, s as (select symbol from tokens union select symbol from bars), l as (select symbol, max(ts)::date as last_day from bars group by 1),
  m as (select symbol, last_day, coalesce(date '1999-01-05' - last_day, 999) as missing from s left join l using (symbol))
@@ -251,10 +255,20 @@ SQL = {
  select symbol, ts, round(f, 5) as ema_12, round(e.s, 5) as ema_26, round(case when i >= 30 and e.s <> 0 then greatest(-1, least(1, (f - e.s) / e.s / 0.05::double)) else 0 end, 5) as f_trend from e join s using (symbol, i)""",
     "adx_core": f"""{_STEPS}, {_chain('k', 's', ('tr', 'dp', 'dm'), 14, 1, 14)}, q as (select symbol, i, {_DI} from k), x as (select *, {_DX} from q), {_chain('a', 'x', ('dx',), 14, 15, 28)}
  select s.symbol, s.ts, round(coalesce(pdi, 0), 5) as core_di_plus, round(coalesce(mdi, 0), 5) as core_di_minus, round(coalesce(a.dx, 0), 5) as core_adx from s left join x using (symbol, i) left join a using (symbol, i)""",
-    "adx_regime": f"""{_STEPS}, {_chain('k', 's', ('tr', 'dp', 'dm'), 14, 1, 14)}, q as (select symbol, i, {_DI} from k), y as (select *, {_DX} from q),
-   x as (select s.symbol, s.i, coalesce(dx, 0) as dx from s left join y using (symbol, i)), {_chain('a', 'x', ('dx',), 14, 1, 14)}, {_chain('g', 's', ('g', 'l'), 8, 1, 8)}
- select s.symbol, s.ts, round(case when s.i < 14 then 0 else pdi end, 5) as regime_di_plus, round(case when s.i < 14 then 0 else mdi end, 5) as regime_di_minus, round(a.dx, 5) as regime_adx,
-   round(case when s.i > 8 then 100 - 100 / (1 + case when g.l > 0 then g.g / g.l else 100 end) end, 5) as regime_rsi from s left join q using (symbol, i) left join a using (symbol, i) left join g using (symbol, i)""",
+    "adx_regime": _DIRECTIONAL + "select symbol, ts, round(pdi, 5) as regime_di_plus, round(mdi, 5) as regime_di_minus, round(adx, 5) as regime_adx, round(rsi, 5) as regime_rsi from v",
+    "regime_classify": _DIRECTIONAL + f"select symbol, ts, {_LABEL} as regime from v",
+    "regime_scan_pivot": _DIRECTIONAL
+    + f""", c as (select symbol, ts, {_LABEL} as regime from v), w as (select symbol, date_trunc('week', ts) as week, arg_max(regime, ts) as regime from c where regime is not null group by 1, 2)
+ select symbol, """
+    + ", ".join(f"count(*) filter (regime = '{k}') as \"{k}\"" for k in ("BULL", "BEAR", "NEUTRAL", "TRANSITION", "RANGE"))
+    + " from w group by 1",
+    "mtf_regimes": f"with {H}, "
+    + ", ".join(
+        f"""{k}0 as (select *, case when count(*) over a = {p} then avg(close) over a end as m from bars window a as (partition by symbol order by ts rows between {p - 1} preceding and current row)),
+ {k}1 as (select *, coalesce(close > m, false) as a, coalesce(m > lag(m, {g}) over w, false) as r from {k}0 {_W}), {k} as (select symbol, ts, case when a and r then 'U' when not a and not r then 'D' else 'T' end as s from {k}1)"""
+        for k, p, g in (("lt", 100, 20), ("mt", 50, 10), ("st", 20, 5))
+    )
+    + " select symbol, ts, lt.s as long_term, mt.s as mid_term, st.s as short_term, concat_ws('/', lt.s, mt.s, st.s) as gate_key from lt join mt using (symbol, ts) join st using (symbol, ts)",
     "adx_roro": f"""{_STEPS}, {_chain('k', 's', ('tr', 'dp', 'dm'), 14, 0, 13)}, q as (select symbol, i, {_DI} from k), y as (select *, {_DX} from q),
    x as (select s.symbol, s.i, coalesce(dx, 0) as dx from s left join y using (symbol, i)), {_chain('a', 'x', ('dx',), 14, 0, 13)}, {_chain('g', 's', ('g', 'l'), 8, 0, 7)}
  select s.symbol, s.ts, round(coalesce(pdi, 0), 5) as roro_di_plus, round(coalesce(mdi, 0), 5) as roro_di_minus, round(a.dx, 5) as roro_adx,
