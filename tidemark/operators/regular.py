@@ -143,22 +143,21 @@ def regular_grid(
     v = F.col(value).cast("double")
     usable = (v > 0) & (v < float("inf")) & ~F.isnan(v)
     seen = readings.where(usable & F.col(ts).isNotNull()).select(F.col(entity).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), v.alias("y"))
-    once = seen.groupBy("e", "t").agg(F.avg("y").alias("y"))
-    placed = once.join(lengths, "e").withColumn("slot", F.expr("(t - pmod(t, step)) div step"))
-    merged = placed.groupBy("e", "step", "slot", F.expr(f"(t - slot * step) * {SUB} div step").alias("sub")).agg(
-        F.expr("slot * step + cast(avg(t - slot * step) as bigint)").alias("t"), F.avg("y").alias("y"), F.count("*").alias("n")
-    )
-    blocks = (
-        merged.groupBy("e", "step", F.expr(f"(slot - pmod(slot, {block_steps})) div {block_steps}").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("t", "y", "n", "slot"))).alias("r"))
+    placed = seen.distinct().join(lengths, "e").withColumn("micro", F.expr(f"(t * {SUB} - pmod(t * {SUB}, step)) div step"))
+    # times as distances from the start of their sixteenth of a step: sums stay small and exact
+    origin = f"((micro * step - pmod(micro * step, {SUB})) div {SUB})"
+    merged = placed.groupBy("e", "micro").agg(F.max("step").alias("step"), F.sum(F.expr(f"t - {origin}")).alias("d"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    readings_ = merged.select("e", "step", "micro", F.expr(f"{origin} + d div n").alias("t"), (F.col("y") / F.col("n")).alias("y"), "n")
+    blocks = readings_.groupBy("e", F.expr(f"(micro - pmod(micro, {SUB * block_steps})) div {SUB * block_steps}").alias("block")).agg(
+        F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("t", "y", "n"))).alias("r")
     )
     pairs = F.zip_with(F.expr("slice(r, 1, size(r) - 1)"), F.expr("slice(r, 2, greatest(size(r) - 1, 0))"), lambda p, q: (q["y"] - p["y"]) * (q["y"] - p["y"]))
     narrow = blocks.select(
         "e",
         "block",
         "step",
-        F.expr("r[0].slot").alias("first_slot"),
-        F.expr("element_at(r, -1).slot").alias("last_slot"),
+        F.expr("(r[0].t - pmod(r[0].t, step)) div step").alias("first_slot"),
+        F.expr("(element_at(r, -1).t - pmod(element_at(r, -1).t, step)) div step").alias("last_slot"),
         F.slice("r", 1, context).alias("head"),
         F.expr(f"slice(r, greatest(size(r) - {context}, 0) + 1, {context})").alias("tail"),
         F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x).alias("moved"),
@@ -180,7 +179,7 @@ def regular_grid(
     )
     # variance a step; a constant source gets a floor far below its size
     scale = F.greatest(F.sqrt(F.expr("case when span > 0 and moved > 0 then moved / span else 0 end")), F.col("size") * 1e-9)
-    nothing = F.expr("cast(array() as array<struct<t:bigint,y:double,n:bigint,slot:bigint>>)")
+    nothing = F.expr("cast(array() as array<struct<t:bigint,y:double,n:bigint>>)")
     full = blocks.join(around, ["e", "block"]).select(
         "e", "step", "lo", "hi", scale.alias("scale"), F.coalesce("before", nothing).alias("before"), "r", F.coalesce("after", nothing).alias("after")
     )
