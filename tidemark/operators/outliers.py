@@ -11,7 +11,7 @@ shuffle. Bars are cut into blocks of ``block_hours``; one row a block holds its
 bars of that time), with ``CONTEXT`` bars of the neighbouring blocks, so a hot source is spread over all tasks.
 
 Defined cases: null and NaN values are no reading and never a case; repeated rows count once; a bar without
-source or time is judged by physical bounds only within its (null) source; a source with fewer than
+source or time belongs to no series and is not judged; a source with fewer than
 ``MIN_BARS`` moving bars has no normal behaviour to stand out from, so only bounds and runs apply to it.
 """
 
@@ -136,7 +136,7 @@ def implausible_bars(
     run of equal values; ``usual_repeats``: share of runs longer than one from which repeats are usual for a source.
     """
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-    bars = df.select(F.col(entity).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(key).cast("bigint").alias("id"), *(number(c) for c in (*PRICES, "volume"))).distinct()
+    bars = df.select(F.col(entity).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(key).cast("bigint").alias("id"), *(number(c) for c in (*PRICES, "volume"))).where("e is not null and ts is not null").distinct()
     block = F.expr(f"ts div {3_600_000_000 * block_hours}")
     blocks = bars.groupBy("e", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", *PRICES, "volume"))).alias("bars"))
     positive = (F.col("open") > 0) & (F.col("close") > 0) & (F.col("low") > 0)
@@ -165,21 +165,16 @@ def implausible_bars(
         F.lead("head").over(by).alias("after"),
         *((F.sum(f"long_{c}").over(whole) > usual_repeats * F.sum(f"runs_{c}").over(whole)).alias(f"usual_{c}") for c in READINGS),
     )
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    joined = (
-        blocks.alias("a")
-        .join(around.alias("b"), same("e", "e") & same("block", "block"))
-        .select(F.col("a.e").alias("e"), "a.bars", "b.before", "b.after", *(f"b.usual_{c}" for c in READINGS))
-        .alias("a")
-        .join(normal.alias("b"), same("e", "e"), "left")
-        .select(
-            F.col("a.bars").alias("bars"),
-            F.coalesce("a.before", F.expr("slice(a.bars, 1, 0)")).alias("before"),
-            F.coalesce("a.after", F.expr("slice(a.bars, 1, 0)")).alias("after"),
-            F.coalesce("b.scale", F.lit(0.0)).alias("scale"),
-            F.coalesce((F.col("b.q")[1] - F.col("b.q")[0]) / 1.349, F.lit(0.0)).alias("volume_scale"),
-            *(f"a.usual_{c}" for c in READINGS),
-        )
+    # both are laid out by source already; only this narrow table moves to the blocks
+    known = around.join(normal, "e", "left")
+    none = F.expr("slice(bars, 1, 0)")
+    joined = blocks.join(known, ["e", "block"]).select(
+        "bars",
+        F.coalesce("before", none).alias("before"),
+        F.coalesce("after", none).alias("after"),
+        F.coalesce("scale", F.lit(0.0)).alias("scale"),
+        F.coalesce((F.col("q")[1] - F.col("q")[0]) / 1.349, F.lit(0.0)).alias("volume_scale"),
+        *(f"usual_{c}" for c in READINGS),
     )
     found = joined.mapInArrow(_judge_blocks(spike, volume_spike, least_volume, stuck_run), "id bigint, impossible boolean, far boolean, stuck boolean")
     return found.select(F.col("id").alias(key), "impossible", "far", "stuck")
