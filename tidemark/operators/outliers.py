@@ -136,9 +136,11 @@ def implausible_bars(
     run of equal values; ``usual_repeats``: share of runs longer than one from which repeats are usual for a source.
     """
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-    bars = df.select(F.col(entity).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(key).cast("bigint").alias("id"), *(number(c) for c in (*PRICES, "volume"))).where("e is not null and ts is not null").distinct()
+    rows = df.select(F.col(entity).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(key).cast("bigint").alias("id"), *(number(c) for c in (*PRICES, "volume")))
     block = F.expr(f"ts div {3_600_000_000 * block_hours}")
-    blocks = bars.groupBy("e", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", *PRICES, "volume"))).alias("bars"))
+    # the join below needs keys that are not null; said here, it adds no filter to one branch only, and the exchanges are reused
+    bars = rows.withColumn("block", block).where("e is not null and ts is not null and block is not null").distinct()
+    blocks = bars.groupBy("e", "block").agg(F.array_sort(F.collect_list(F.struct("ts", "id", *PRICES, "volume"))).alias("bars"))
     positive = (F.col("open") > 0) & (F.col("close") > 0) & (F.col("low") > 0)
     moved = F.when(positive & (F.col("high") > F.col("low")) & (F.col("open") != F.col("close")), F.abs(F.ln(F.col("close") / F.col("open"))))
     lively = F.when(F.col("volume") > 0, F.ln("volume"))
