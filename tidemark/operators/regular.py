@@ -147,10 +147,10 @@ def regular_grid(
     # times as distances from the start of their sixteenth of a step: sums stay small and exact
     origin = f"((micro * step - pmod(micro * step, {SUB})) div {SUB})"
     merged = placed.groupBy("e", "micro").agg(F.max("step").alias("step"), F.sum(F.expr(f"t - {origin}")).alias("d"), F.sum("y").alias("y"), F.count("*").alias("n"))
-    readings_ = merged.select("e", "step", "micro", F.expr(f"{origin} + d div n").alias("t"), (F.col("y") / F.col("n")).alias("y"), "n")
-    blocks = readings_.groupBy("e", F.expr(f"(micro - pmod(micro, {SUB * block_steps})) div {SUB * block_steps}").alias("block")).agg(
-        F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("t", "y", "n"))).alias("r")
-    )
+    block = F.expr(f"(micro - pmod(micro, {SUB * block_steps})) div {SUB * block_steps}")
+    # the join below needs keys that are not null; said here, it adds no filter to one branch only, and the exchanges are reused
+    rows_ = merged.select("e", "step", block.alias("block"), F.expr(f"{origin} + d div n").alias("t"), (F.col("y") / F.col("n")).alias("y"), "n").where("e is not null and block is not null")
+    blocks = rows_.groupBy("e", "block").agg(F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("t", "y", "n"))).alias("r"))
     pairs = F.zip_with(F.expr("slice(r, 1, size(r) - 1)"), F.expr("slice(r, 2, greatest(size(r) - 1, 0))"), lambda p, q: (q["y"] - p["y"]) * (q["y"] - p["y"]))
     narrow = blocks.select(
         "e",
