@@ -92,7 +92,7 @@ def trade_statistics(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     tp, sl, n = reason("TP"), reason("SL"), F.count("*")
     return trades.rollup(*by).agg(
         n.alias("trades"), tp.alias("targets"), sl.alias("stops"), reason("TIMEOUT").alias("timeouts"), F.round(tp / n, 6).alias("win_rate_all"),
-        F.round(F.when(tp + sl > 0, tp / (tp + sl)), 6).alias("win_rate_decided"), F.round(F.avg("pnl_pct"), 4).alias("mean_pct"), F.round(F.avg("hold_days"), 4).alias("mean_hold"),
+        F.round(F.when(tp + sl > 0, tp / (tp + sl)), 6).alias("win_rate_decided"), F.round(F.avg("pnl_pct"), 8).alias("mean_pct"), F.round(F.avg("hold_days"), 6).alias("mean_hold"),
         F.round(F.sum(F.col("pnl_usd").cast("decimal(28,6)")).cast("double"), 4).alias("gain"),
     )
 

@@ -29,7 +29,8 @@ def context_levels(texts: DataFrame, key: str, text: str) -> DataFrame:
     low = F.lower("s")
     word = F.when(low.contains("support"), "support").when(low.contains("resistance"), "resistance")
     seen = F.last(word, ignorenulls=True).over(Window.partitionBy("k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.select("k", F.coalesce(seen, F.lit("unknown")).alias("side"), F.explode(prices_in(F.col("s"))).alias("price")).distinct()
+    sided = lines.select("k", "s", F.coalesce(seen, F.lit("unknown")).alias("side"))  # before lines without prices go
+    rows = sided.select("k", "side", F.explode(prices_in(F.col("s"))).alias("price")).distinct()
     return rows.withColumnRenamed("k", key)
 
 

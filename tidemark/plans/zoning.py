@@ -67,7 +67,7 @@ def round_levels(spark, d):
     p = F.col("l_extendedprice") / F.col("l_quantity")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(p.alias("price")).distinct()
     x = F.col("price")
-    return rows.select("price", Z.tiered_round(x, x).alias("tiered"), Z.display_grid(x).alias("grid"), F.round(Z.round_number(x), 6).alias("snapped"))
+    return rows.select("price", Z.tiered_round(x, x).alias("tiered"), Z.display_grid(x).alias("grid"), Z.round_number(x).alias("snapped"))
 
 
 def tpsl_cascade(spark, d):
@@ -156,7 +156,7 @@ SQL = {
  select symbol, round(price, 4) as price, side, strength, touches, recency, anchor_bar from touch""",
     "round_levels": f"""with p as (select distinct l_extendedprice / l_quantity as price from lineitem)
  select price, case when price >= 1000 then round_even(price, 0) when price >= 10 then round_even(price * 10, 0) / 10 else round_even(price * 100, 0) / 100 end as tiered, case {_GRID} else price end as grid,
-   round(case when price >= 1000 then {_snap(1000.0, 500.0, 100.0, 50.0)} when price >= 100 then {_snap(100.0, 50.0, 10.0, 5.0)} when price >= 10 then {_snap(10.0, 5.0, 0.5, 0.25)} else {_snap(0.5, 0.25, 0.1)} end, 6) as snapped from p""",
+   case when price >= 1000 then {_snap(1000.0, 500.0, 100.0, 50.0)} when price >= 100 then {_snap(100.0, 50.0, 10.0, 5.0)} when price >= 10 then {_snap(10.0, 5.0, 0.5, 0.25)} else {_snap(0.5, 0.25, 0.1)} end as snapped from p""",
     "tpsl_cascade": f"{BASE}, {_TPSL} select * from tpsl",
     "rr_ranking": f"{BASE}, {_TPSL} select flavour, symbol, ratio, qualified, row_number() over (partition by flavour order by coalesce(ratio, -1) desc, symbol) as place from tpsl",
     "filter_chain": _FILTERS
