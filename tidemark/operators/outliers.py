@@ -8,7 +8,7 @@ shorter than half a window stands out with all its bars.
 
 Plan: a source's deviations and repeat rates are sketches and counts over all its bars, combined before the
 shuffle. Bars are cut into blocks of ``block_hours``; one row a block holds its bars as an array (bounded by the
-bars of that time), with ``CONTEXT`` bars of the neighbouring blocks, so a hot source is spread over all tasks.
+bars of that time), with ``CONTEXT`` bars of the nearest blocks on either side, so a hot source is spread over all tasks.
 
 Defined cases: null and NaN values are no reading and never a case; repeated rows count once; a bar without
 source or time belongs to no series and is not judged; a source with fewer than
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-CONTEXT, MIN_BARS, _MAD = 32, 5, 1.4826
+CONTEXT, NEIGHBOURS, MIN_BARS, _MAD = 32, 8, 5, 1.4826
 PRICES = ("open", "high", "low", "close")
 READINGS = ("close", "high", "low", "volume")
 
@@ -160,20 +160,22 @@ def implausible_bars(
         tallies.append(F.expr(f"size(filter(n_{c}, x -> x))").alias(f"runs_{c}"))
         tallies.append(F.expr(f"size(filter(zip_with(n_{c}, slice(n_{c}, 2, greatest(size(n_{c}) - 1, 0)), (x, y) -> x and not y), x -> x))").alias(f"long_{c}"))
     narrow = steps.select("e", "block", "head", "tail", *tallies)
-    around = narrow.select(
+    near = narrow.withColumn("before", F.flatten(F.collect_list("tail").over(by.rowsBetween(-NEIGHBOURS, -1)))).withColumn(
+        "after", F.flatten(F.collect_list("head").over(by.rowsBetween(1, NEIGHBOURS)))
+    )
+    around = near.select(
         "e",
         "block",
-        F.lag("tail").over(by).alias("before"),
-        F.lead("head").over(by).alias("after"),
+        F.expr(f"slice(before, greatest(size(before) - {CONTEXT}, 0) + 1, {CONTEXT})").alias("before"),
+        F.slice("after", 1, CONTEXT).alias("after"),
         *((F.sum(f"long_{c}").over(whole) > usual_repeats * F.sum(f"runs_{c}").over(whole)).alias(f"usual_{c}") for c in READINGS),
     )
     # both are laid out by source already; only this narrow table moves to the blocks
     known = around.join(normal, "e", "left")
-    none = F.expr("slice(bars, 1, 0)")
     joined = blocks.join(known, ["e", "block"]).select(
         "bars",
-        F.coalesce("before", none).alias("before"),
-        F.coalesce("after", none).alias("after"),
+        "before",
+        "after",
         F.coalesce("scale", F.lit(0.0)).alias("scale"),
         F.coalesce((F.col("q")[1] - F.col("q")[0]) / 1.349, F.lit(0.0)).alias("volume_scale"),
         *(f"usual_{c}" for c in READINGS),

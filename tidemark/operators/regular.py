@@ -7,8 +7,8 @@ gets the smoothed level at its start, a standard deviation, the number of its re
 
 Plan: readings are cut into blocks of ``block_steps`` steps. One row a block holds its readings as an array
 (never more than ``16 * block_steps``, as readings within a sixteenth of a step are averaged); the block takes
-the last and first ``context`` readings of its neighbours with readings, found by lag and lead over the narrow
-table of blocks. Blocks are independent after that, so one hot source is spread over all tasks, and in Python
+the last and first ``context`` readings of its nearest blocks with readings, by a window over the narrow table
+of blocks. Blocks are independent after that, so one hot source is spread over all tasks, and in Python
 all blocks of a batch run through the recursions together. Readings further than ``context`` before or after a
 block have no weight worth the name: tests hold the result against one pass over the whole source.
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SUB = 16
+SUB, NEIGHBOURS = 16, 8
 
 
 def smooth_lockstep(dt: np.ndarray, y: np.ndarray, level_noise: float, slope_noise: float, reading_noise: float) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def regular_grid(
     value: str = "close",
     step_minutes: str = "step_minutes",
     block_steps: int = 512,
-    context: int = 48,
+    context: int = 64,
     level_noise: float = 0.9,
     slope_noise: float = 0.01,
     reading_noise: float = 0.05,
@@ -166,11 +166,14 @@ def regular_grid(
     )
     by = Window.partitionBy("e").orderBy("block")
     whole = Window.partitionBy("e")
-    around = narrow.select(
+    near = narrow.withColumn("before", F.flatten(F.collect_list("tail").over(by.rowsBetween(-NEIGHBOURS, -1)))).withColumn(
+        "after", F.flatten(F.collect_list("head").over(by.rowsBetween(1, NEIGHBOURS)))
+    )
+    around = near.select(
         "e",
         "block",
-        F.lag("tail").over(by).alias("before"),
-        F.lead("head").over(by).alias("after"),
+        F.expr(f"slice(before, greatest(size(before) - {context}, 0) + 1, {context})").alias("before"),
+        F.slice("after", 1, context).alias("after"),
         F.when(F.lag("block").over(by).isNull(), F.col("first_slot")).otherwise(F.col("block") * block_steps).alias("lo"),
         F.coalesce(F.lead("block").over(by) * block_steps - 1, F.col("last_slot")).alias("hi"),
         F.sum("moved").over(whole).alias("moved"),
@@ -179,9 +182,8 @@ def regular_grid(
     )
     # variance a step; a constant source gets a floor far below its size
     scale = F.greatest(F.sqrt(F.expr("case when span > 0 and moved > 0 then moved / span else 0 end")), F.col("size") * 1e-9)
-    nothing = F.expr("cast(array() as array<struct<t:bigint,y:double,n:bigint>>)")
     full = blocks.join(around, ["e", "block"]).select(
-        "e", "step", "lo", "hi", scale.alias("scale"), F.coalesce("before", nothing).alias("before"), "r", F.coalesce("after", nothing).alias("after")
+        "e", "step", "lo", "hi", scale.alias("scale"), "before", "r", "after"
     )
     rows = full.select(
         "e",
