@@ -17,19 +17,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import identifier_key
 
-_KEY, _RANK, _ALONE = "__td_key", "__td_rank", "__td_alone"
 
 
-def _rank_one(df: DataFrame, scope: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    window = Window.partitionBy(*scope, _KEY, _ALONE).orderBy(*order)
-    return df.withColumn(_RANK, F.row_number().over(window)).where(F.col(_RANK) == 1).drop(_RANK)
+def _free(columns: Sequence[str], *names: str) -> list[str]:
+    """``names`` with underscores added until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def _keyed(df: DataFrame, identifier: str, arrival: Sequence[str]) -> DataFrame:
+def _keyed(df: DataFrame, identifier: str, arrival: Sequence[str], key: str, alone: str) -> DataFrame:
     """Adds the canonical identifier and, where there is none, a value that keeps the row apart."""
-    key = identifier_key(F.col(identifier))
-    alone = F.when(key.isNull(), F.xxhash64(*(F.col(c) for c in arrival), F.lit(7)))
-    return df.withColumn(_KEY, key).withColumn(_ALONE, alone)
+    canonical = identifier_key(F.col(identifier))
+    return df.withColumn(key, canonical).withColumn(alone, F.when(F.col(key).isNull(), F.xxhash64(*(F.col(c) for c in arrival), F.lit(7))))
+
+
+def _rank_one(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    (rank,) = _free(df.columns, "rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def first_deliveries(
@@ -37,8 +45,9 @@ def first_deliveries(
 ) -> DataFrame:
     """One row for each message: its first delivery by ``arrival`` (nulls last), all columns kept."""
     columns = df.columns
+    key, alone = _free(columns, "key", "alone")
     order = [F.col(c).asc_nulls_last() for c in arrival] + [F.xxhash64(*(F.col(c) for c in columns))]
-    return _rank_one(_keyed(df, identifier, arrival), scope, order).select(*columns)
+    return _rank_one(_keyed(df, identifier, arrival, key, alone), [*scope, key, alone], order).select(*columns)
 
 
 def repeated_deliveries(
@@ -51,8 +60,9 @@ def repeated_deliveries(
     ``arrival`` have no place in the order and are not listed.
     """
     narrow = df.select(*dict.fromkeys([*scope, *arrival, identifier]))
-    keyed = _keyed(narrow, identifier, arrival).where(F.col(_KEY).isNotNull()).drop(identifier)
-    firsts = _rank_one(keyed, scope, [F.col(c).asc_nulls_last() for c in arrival]).select(*arrival)
+    (key,) = _free(narrow.columns, "key")
+    keyed = narrow.withColumn(key, identifier_key(F.col(identifier))).where(F.col(key).isNotNull()).drop(identifier)
+    firsts = _rank_one(keyed, [*scope, key], [F.col(c).asc_nulls_last() for c in arrival]).select(*arrival)
     listed = keyed.select(*arrival).dropna(subset=list(arrival))
     return listed.join(firsts, list(arrival), "left_anti").distinct()
 
@@ -66,9 +76,10 @@ def new_messages(
     read, so neither side can be hot. Null scope values match each other; messages without identifier are new.
     """
     columns = batch.columns
-    fresh = _keyed(first_deliveries(batch, identifier, scope, arrival), identifier, arrival).alias("n")
-    known = stored.select(*scope, identifier_key(F.col(identifier)).alias(_KEY)).where(F.col(_KEY).isNotNull()).distinct().alias("k")
-    same = F.col(f"n.{_KEY}") == F.col(f"k.{_KEY}")
+    (key,) = _free(columns, "key")
+    fresh = first_deliveries(batch, identifier, scope, arrival).withColumn(key, identifier_key(F.col(identifier))).alias("n")
+    known = stored.select(*scope, identifier_key(F.col(identifier)).alias(key)).where(F.col(key).isNotNull()).distinct().alias("k")
+    same = F.col(f"n.{key}") == F.col(f"k.{key}")
     for c in scope:
         same &= F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
     return fresh.join(known, same, "left_anti").select(*columns)
