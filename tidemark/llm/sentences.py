@@ -71,8 +71,10 @@ _PREFIX = re.compile(
 )
 _WORD_BEFORE = re.compile(r"[\w.̀-ͯ҃-҉֑-ׇؐ-ًؚ-ٰٟۖ-ۭऀ-࿿­​-‍'’]+$")
 _INVISIBLE = re.compile("[­​-‍﻿⁠]")
-_FULL_STOP = re.compile(r"([^\s.]+(?:\.[^\s.]+)*)\.[\"'”’»)]*\s+([^\W\d_])[^\W\d_]*(?=[\s,;:'’]|\.\s)")
+_FULL_STOP = re.compile(r"(?<!\S)([^\s.]+(?:\.[^\s.]+)*)\.[\"'”’»)]*\s+([^\W\d_])[^\W\d_]*(?=[\s,;:'’]|\.\s)")
 _NAME = re.compile(r"[^\W\d_]+_\d+")
+# What is looked at around a mark is bounded, so that time grows with the text and no faster.
+_LONGEST_WORD, _LONGEST_QUOTE, _LOOK_BACK = 80, 2000, 300
 _MIN_WRAP, _MAX_WRAP, _FULL = 45, 130, 55
 # Words that begin a sentence after an abbreviation in texts without capitals.
 _OPENING = set("the a an it it's it’s this that these those our we our you they he she there what who whoever if is as at in on for by under by still well meanwhile oddly half see run".split())
@@ -89,7 +91,7 @@ def _dense(ch: str) -> bool:
 
 
 def _first_word(text: str, at: int, end: int) -> str:
-    stop = at
+    stop, end = at, min(end, at + _LONGEST_WORD)
     while stop < end and not text[stop].isspace():
         stop += 1
     return text[at:stop]
@@ -166,7 +168,7 @@ def _pairs(text: str, a: int, b: int) -> dict[int, int]:
         ends = _PAIRS.get(ch)
         if ends and not (ch == '"' and i > a and text[i - 1].isdigit()):
             depth, j = 1, i + 1
-            while j < b:
+            while j < b and j - i < _LONGEST_QUOTE:
                 if text[j] in ends:
                     depth -= 1
                     if not depth:
@@ -174,13 +176,17 @@ def _pairs(text: str, a: int, b: int) -> dict[int, int]:
                 elif text[j] == ch:
                     depth += 1
                 j += 1
-            if j < b and j - i < 2000:
+            if not depth:
                 found[i] = j
                 i = j
         i += 1
     return found
 
 
+def _blank(text: str, a: int, b: int) -> bool:
+    return all(text[i].isspace() for i in range(a, b))
+
+
 def _ends_with_mark(text: str, o: int, c: int) -> bool:
     j = c - 1
     while j > o and (text[j].isspace() or text[j] in _CLOSERS):
@@ -199,10 +205,12 @@ def _split_unit(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     start = a
     begin = _PREFIX.match(text, a, b).end()  # where the words of the current sentence begin
     i, k = begin, 0
+    m = _ENDS.search(text, i, b)
     while i < b:
         while k < len(opens) and opens[k] < i:
             k += 1
-        m = _ENDS.search(text, i, b)
+        if m and m.start() < i:
+            m = _ENDS.search(text, i, b)
         o = opens[k] if k < len(opens) else b
         space = _thai_space(text, i, min(b, o, m.start() if m else b), start) if thai else -1
         if space >= 0:
@@ -220,7 +228,7 @@ def _split_unit(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
                 i = o + 1
                 continue
             i = c + 1
-            if _ends_with_mark(text, o, c) and text[begin:o].strip():
+            if _ends_with_mark(text, o, c) and not _blank(text, begin, o):
                 # led up to and cited as one piece: a new sentence only where a capital follows
                 j, gap = _skip(text, i, b)
                 if j < b and gap and text[j] not in ",;:" and (text[j].isupper() or text[j] in "¿¡\"“„«(" or (text[j].isdigit() and text[o] not in _BRACKETS)) and (text[o] not in _BRACKETS or text[j].isupper()):
@@ -268,7 +276,7 @@ def _thai_space(text: str, i: int, stop: int, start: int) -> int:
 
 def _stands_alone(text: str, begin: int, o: int, c: int, b: int) -> bool:
     """Whether a quotation or bracket is made of sentences of its own."""
-    if text[begin:o].strip() or not _ends_with_mark(text, o, c):
+    if not _blank(text, begin, o) or not _ends_with_mark(text, o, c):
         return False
     j, gap = _skip(text, c + 1, b)
     if j >= b:
@@ -320,7 +328,7 @@ def _break_at(text: str, start: int, begin: int, p: int, q: int, b: int, lower:
     """Where the sentence ends if the marks text[p:q] end it, else -1."""
     marks = text[p:q]
     if ":" in marks or ";" in marks or ";" in marks or "|" in marks:
-        said = text[begin:p]
+        said = text[max(begin, p - _LOOK_BACK) : p]
         if set(marks) <= {";", ";"}:
             if not any("Ͱ" <= ch <= "Ͽ" or "ἀ" <= ch <= "῿" for ch in said):
                 return -1
@@ -379,7 +387,7 @@ def _break_at(text: str, start: int, begin: int, p: int, q: int, b: int, lower:
     if len(token) == 1 and shown[:1].isupper() and token.isalpha():
         return -1
     if token in _MAYBE and not capital:
-        lead = text[begin:p].split()
+        lead = text[begin:p].split() if p - begin < _LONGEST_WORD else []
         if len(lead) <= 3 and lead and lead[0].lower() in _LEAD_IN:
             return -1
         first = word.lower().rstrip(",;:")
@@ -389,10 +397,10 @@ def _break_at(text: str, start: int, begin: int, p: int, q: int, b: int, lower:
     if token in _MAYBE:
         if not (nxt.isupper() or nxt in "¿¡\"“„«(「『" or not (nxt.islower() or nxt.isdigit())):
             return -1
-        lead = text[begin:p].split()
+        lead = text[begin:p].split() if p - begin < _LONGEST_WORD else []
         return -1 if len(lead) <= 3 and lead and lead[0].lower() in _LEAD_IN else end
     if token.isdigit() and len(token) <= 2:
-        ahead = text[start : before.start()].split()
+        ahead = text[max(start, p - 60) : p - len(before.group())].split()
         if ahead and ahead[-1].lower() in _ORDINAL_BEFORE and (nxt.isalpha()):
             return -1
     return end
