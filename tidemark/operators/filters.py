@@ -60,7 +60,7 @@ def combinations(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def folds(rows: DataFrame, warm_up_months: int = 6, test_months: int = 6, count: int = 3) -> DataFrame:
     """Adds ``fold`` from 1: test periods that follow a warm-up from the first row on; rows outside have none."""
+    out = rows.sparkSession.sql("select *, (select min(ts) from {rows}) as __td_start from {rows}", rows=rows)
     month = F.floor(F.months_between("ts", F.col("__td_start")))
-    first = rows.agg(F.min("ts").alias("__td_start"))
     fold = F.floor((month - warm_up_months) / test_months) + 1
-    return rows.join(F.broadcast(first)).withColumn("fold", F.when((fold >= 1) & (fold <= count), fold).cast("bigint")).drop("__td_start")
+    return out.withColumn("fold", F.when((fold >= 1) & (fold <= count), fold).cast("bigint")).drop("__td_start")

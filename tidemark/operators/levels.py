@@ -257,3 +257,23 @@ def merged_levels(levels: DataFrame, prices: DataFrame, near: float = 0.005, mos
         levels=anchored_clusters(levels, f"(x - a) / a <= {near}"),
         prices=prices,
     ).where(f"place <= {most}")
+
+
+def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.0) -> DataFrame:
+    """Levels of swings that later closes have not invalidated, and weak ones of opposite side where they broke.
+
+    A swing ends with two closes beyond it in a row or three weighted breaks; from two weighted breaks on it also
+    acts from the other side. Strength: by structural role, recent ones more, less for each break.
+    """
+    return _sql(
+        f"""with j as (select r.*, b.breaks, b.longest, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
+              on b.symbol = r.symbol and b.i = r.i and b.kind = r.kind and b.source = r.source),
+            a as (select *, explode(filter(array(
+                struct(false as flipped, longest < 2 and breaks < 3 as here, case when structural = 'CHOCH' then 0.85D when role in ('HL', 'LH') then 0.65D else 0.45D end as base,
+                  case when breaks >= 3 then 0.1D when breaks <= 0 then 1.0D else greatest(0.1D, 1 - 0.3D * breaks) end as left, 1 + cast(floor(breaks) as bigint) as touches),
+                struct(true as flipped, breaks >= 2 as here, 0.30D as base, 1.0D as left, 1L as touches)), x -> x.here)) as x from j)
+            select symbol, i as bar, price, source, if((kind = 'low') <> x.flipped, 'support', 'resistance') as side, x.flipped as flipped, if(x.flipped, 'flip', if(structural = 'CHOCH', 'CHOCH', role)) as role,
+              round((x.base * w * 0.7D + recency * 0.3D) * x.left + 1e-9D, 4) as strength, x.touches as touches from a""",
+        roles=roles,
+        breaks=breaks,
+    )

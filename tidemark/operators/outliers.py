@@ -83,7 +83,7 @@ def judge(o, h, l, c, v, scale, volume_scale, usual, spike: float, volume_spike:
             if not common:
                 length, first = _run_lengths(values)
                 stuck |= (length >= stuck_run) & ~first
-    return impossible, far & ~np.isnan(c + 0 * h), stuck
+    return impossible, far, stuck
 
 
 def _judge_blocks(spike: float, volume_spike: float, least_volume: float, stuck_run: int):

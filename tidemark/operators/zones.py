@@ -194,3 +194,18 @@ def targets_and_stops(levels: DataFrame, prices: DataFrame, atr: DataFrame, flav
         F.when(both, F.round(gain / loss, 2)).alias("ratio"), F.when(both, F.round(gain / last * 100, 2)).alias("gain_pct"), F.when(both, F.round(loss / last * 100, 2)).alias("loss_pct"),
         both.alias("qualified"), reason.alias("reason"),
     )
+
+
+def analysis_documents(nearest: DataFrame, prices: DataFrame, atr: DataFrame, area: DataFrame, targets: DataFrame) -> DataFrame:
+    """One JSON document a symbol: price and ATR, zones of either side from the nearest, value area and targets by flavour.
+
+    ``nearest`` as of :func:`nearest_zones`, ``area`` as of value_area, ``targets`` as of :func:`targets_and_stops`.
+    """
+    zone = F.struct("place", "price", "tier", "touches", "distance_pct")
+    sides = nearest.groupBy("symbol").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == "support", zone))).alias("support"), F.array_sort(F.collect_list(F.when(F.col("side") == "resistance", zone))).alias("resistance")
+    )
+    plans = targets.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("flavour", "take_profit", "stop_loss", "ratio", "qualified"))).alias("targets"))
+    rows = prices.join(atr, "symbol", "left").join(area.select("symbol", F.struct("poc", "low", "high").alias("volume_profile")), "symbol", "left").join(sides, "symbol", "left").join(plans, "symbol", "left")
+    document = F.struct("symbol", F.col("last").alias("price"), F.struct(F.col("atr").alias("atr14")).alias("market_structure"), "support", "resistance", "volume_profile", "targets")
+    return rows.select("symbol", F.to_json(document).alias("document"))

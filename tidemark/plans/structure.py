@@ -36,6 +36,11 @@ def break_counts(spark, d):
     return rounded(L.break_counts(_points(spark, d), hourly(spark, d), _atr(spark, d)))
 
 
+def structure_levels(spark, d):
+    points = _points(spark, d)
+    return rounded(L.structure_levels(L.swing_roles(points), L.break_counts(points, hourly(spark, d), _atr(spark, d))), 5)
+
+
 def volume_profile(spark, d):
     return rounded(L.volume_profile(hourly(spark, d)))
 
@@ -101,7 +106,7 @@ def fib_levels(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        local_extrema, local_extrema_loose, swings, swing_roles, break_counts, volume_profile, value_area, high_volume_nodes, gap_clusters, anchored_clusters,
+        local_extrema, local_extrema_loose, swings, swing_roles, break_counts, structure_levels, volume_profile, value_area, high_volume_nodes, gap_clusters, anchored_clusters,
         touch_levels, body_edge_levels, flip_levels, ensemble_levels, fib_levels,
     )
 }
@@ -205,3 +210,9 @@ SQL = {
  select symbol, round(price, 4) as price, case when raw < last then 'support' else 'resistance' end as side, strength, method, touches::bigint as touches, recency, role, place from k join lastp using (symbol) where place <= 20""",
     "fib_levels": f"with {H}, e as (select symbol, min(low) as lo, max(high) as hi from bars group by 1), r as (select unnest([0.236, 0.382, 0.5, 0.618, 0.786])::double as ratio) select symbol, ratio, round(lo + (hi - lo) * ratio, 6) as price from e, r",
 }
+SQL["structure_levels"] = f"""with ro as ({SQL['swing_roles']}), br as ({SQL['break_counts']}), nn as (select symbol, count(*) as n from (with {H} select * from bars) group by 1),
+ j as (select ro.*, n, breaks, longest, exp(-(n - 1 - i) / 30.0::double) as recency, case when source = 'wick' then 0.85::double else 1 end as w from ro join br using (symbol, i, kind, source) join nn using (symbol)),
+ u as (select *, false as flipped, case when structural = 'CHOCH' then 0.85::double when role in ('HL', 'LH') then 0.65 else 0.45 end as base, case when breaks <= 0 then 1::double else greatest(0.1::double, 1 - 0.3::double * breaks) end as kept, 1 + floor(breaks)::bigint as touches from j where longest < 2 and breaks < 3
+   union all select *, true, 0.3, 1, 1 from j where breaks >= 2)
+ select symbol, i as bar, round(ro_price, 5) as price, source, case when (kind = 'low') <> flipped then 'support' else 'resistance' end as side, flipped, case when flipped then 'flip' when structural = 'CHOCH' then 'CHOCH' else role end as role,
+   round(round((base * w * 0.7::double + recency * 0.3::double) * kept + 1e-9, 4), 5) as strength, touches from u""".replace("ro_price", "price").replace("join br using (symbol, i, kind, source)", "join (select symbol, i, kind, source, breaks, longest from br) using (symbol, i, kind, source)")

@@ -75,6 +75,11 @@ def tpsl_cascade(spark, d):
     return rounded(Z.targets_and_stops(levels, _prices(spark, d), _small_atr(spark, d)), 2)
 
 
+def analysis_document(spark, d):
+    near = Z.nearest_zones(_base(spark, d), _prices(spark, d))
+    return Z.analysis_documents(near, _prices(spark, d), _atr(spark, d), L.value_area(L.volume_profile(hourly(spark, d))), tpsl_cascade(spark, d))
+
+
 def rr_ranking(spark, d):
     """Targets ranked by ratio, those without last; the place is given to every row."""
     from pyspark.sql import Window
@@ -105,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scored_zones, body_anchor_nearest, zones_merge, sandwiched_minors, cross_side_dedup, zone_rank_topk, spaced_zones, backfilled_zones, multi_window_levels, round_levels,
-        tpsl_cascade, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
+        tpsl_cascade, analysis_document, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
     )
 }
 
