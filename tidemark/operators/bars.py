@@ -27,7 +27,7 @@ def event_candles(events: DataFrame, unit: str = "hour") -> DataFrame:
 
 def shipment_candles(lineitem: DataFrame) -> DataFrame:
     """Daily candles of unit prices by return flag; ties within a day are ordered by all values of the row."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide("l_extendedprice", "l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
     return candles(lineitem, F.col("l_returnflag"), F.date_trunc("day", "l_shipdate"), price, order, F.col("l_quantity"))
 

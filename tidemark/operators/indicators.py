@@ -30,7 +30,7 @@ def sma(p: int, x: str | Column = "close") -> Column:
 
 
 def change(k: int = 1) -> Column:
-    return F.col("close") / F.lag("close", k).over(by()) - 1
+    return F.try_divide("close", F.lag("close", k).over(by())) - 1
 
 
 def true_range() -> Column:

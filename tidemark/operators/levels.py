@@ -105,7 +105,7 @@ def volume_profile(bars: DataFrame, bins: int = 50, half_life: str = "greatest(n
             e as (select symbol, w / (z - a + 1) as w, explode(sequence(a, z)) as bin from s where z >= a),
             v as (select symbol, bin, sum(w) as w from e group by symbol, bin),
             d as (select symbol, lo, step, explode(sequence(0L, {bins - 1}L)) as bin from (select symbol, min(lo) as lo, min(step) as step from s group by symbol))
-            select d.symbol, d.bin, d.lo + d.step * (d.bin + 0.5D) as center, coalesce(v.w, 0.0) as volume from d left join v on v.symbol = d.symbol and v.bin = d.bin""",
+            select d.symbol, d.bin, d.lo + d.step * (d.bin + 0.5D) as center, round(coalesce(v.w, 0.0), 9) as volume from d left join v on v.symbol = d.symbol and v.bin = d.bin""",
         bars=_numbered(bars),
     )
 
@@ -120,7 +120,7 @@ def value_area(profile: DataFrame, share: float = 0.70) -> DataFrame:
                 case when s.got >= total * {share} then s
                   when s.lo > 0 and v[s.lo - 1] >= if(s.hi < size(v) - 1, v[least(s.hi + 1, size(v) - 1)], 0.0D) then struct(s.lo - 1 as lo, s.hi as hi, s.got + v[s.lo - 1] as got)
                   when s.hi < size(v) - 1 then struct(s.lo as lo, s.hi + 1 as hi, s.got + v[s.hi + 1] as got) else s end) as f from m)
-            select symbol, b[cast(poc as int)].center as poc, b[f.lo].center as low, b[f.hi].center as high, f.got / total as share from g""",
+            select symbol, b[cast(poc as int)].center as poc, b[f.lo].center as low, b[f.hi].center as high, f.got / nullif(total, 0) as share from g""",
         profile=profile,
     )
 
@@ -136,7 +136,7 @@ def high_volume_nodes(profile: DataFrame, percent: float = 0.75, order: int = 3)
             t as (select symbol, percentile(volume, {percent}) as least from {{profile}} group by symbol),
             w as (select s.*, max(smooth) over (partition by symbol) as top, max(smooth) over (partition by symbol order by bin rows between {order} preceding and 1 preceding) as l,
               max(smooth) over (partition by symbol order by bin rows between 1 following and {order} following) as r from s)
-            select w.symbol, w.bin, w.center as price, w.smooth / w.top as weight from w join t on t.symbol = w.symbol where smooth > l and smooth > r and smooth >= least""",
+            select w.symbol, w.bin, w.center as price, w.smooth / nullif(w.top, 0) as weight from w join t on t.symbol = w.symbol where smooth > l and smooth > r and smooth >= least""",
         profile=profile,
     )
 
@@ -158,7 +158,7 @@ def anchored_clusters(points: DataFrame, near: str, price: str = "price", key: s
     more = f", max({extra}) as {extra}" if extra else ""
     return _sql(
         f"""with k as (select {key}, array_sort(collect_set({price})) as xs{more} from {{points}} group by {key}),
-            a as (select {key}, aggregate(xs, cast(array() as array<double>), (s, x) -> if(size(s) > 0 and exists(slice(s, -1, 1), a -> {near}), s, concat(s, array(x)))) as anchors from k)
+            a as (select {key}, aggregate(xs, cast(array() as array<double>), (s, x) -> if(size(s) > 0 and exists(slice(s, -1, 1), a -> coalesce({near}, false)), s, concat(s, array(x)))) as anchors from k)
             select p.*, array_max(filter(a.anchors, v -> v <= p.{price})) as anchor from {{points}} p join a on a.{key} = p.{key}""",
         points=points,
     )
@@ -170,7 +170,7 @@ def touch_levels(bars: DataFrame, close_tol: float = 0.005, wick_tol: float = 0.
     union = found[0]
     for f in found[1:]:
         union = union.unionByName(f)
-    grouped = gap_clusters(union.distinct(), f"(x - y) / y >= {wick_tol}")
+    grouped = gap_clusters(union.distinct(), f"(x - y) / nullif(y, 0) >= {wick_tol}")
     return _sql(
         f"""with l as (select symbol, cluster, percentile(price, 0.5) as level from {{grouped}} group by symbol, cluster),
             t as (select l.symbol, l.level, b.i, b.n, exp(-ln(2) * (b.n - 1 - b.i) / greatest(b.n div 3, 5)) as recent,
@@ -203,7 +203,7 @@ def body_edge_levels(bars: DataFrame, atr_bars: DataFrame, atr: DataFrame, times
         f"""with c as (select symbol, max_by(close, ts) as last from {{bars}} group by symbol),
             g as (select symbol, side, anchor, max_by(price, struct(body, -price, -i)) as price, count(*) as touches, avg(exp(-ln(2) * (n - 1 - i) / {half_life})) as recency, avg(body) as body from {{big}} group by symbol, side, anchor)
             select g.symbol, side, round(price, 8) as price, touches, round(recency, 4) as recency,
-              round(0.4 * least(1.0, touches / 5) + 0.3 * least(1.0, body / (last * 0.03)) + 0.3 * recency, 4) as strength from g join c on c.symbol = g.symbol""",
+              round(0.4 * least(1.0, touches / 5) + 0.3 * least(1.0, body / nullif(last * 0.03, 0)) + 0.3 * recency, 4) as strength from g join c on c.symbol = g.symbol""",
         big=anchored_clusters(big, "x - a <= atr", key="k", extra="atr"),
         bars=bars,
     )
@@ -254,7 +254,7 @@ def merged_levels(levels: DataFrame, prices: DataFrame, near: float = 0.005, mos
             select s.symbol, round(price, 8) as price, if(price < p.last, 'support', 'resistance') as side, strength, method, touches, recency, role,
               row_number() over (partition by s.symbol order by strength desc, price) as place
             from s join {{prices}} p on p.symbol = s.symbol where strength >= {least}""",
-        levels=anchored_clusters(levels, f"(x - a) / a <= {near}"),
+        levels=anchored_clusters(levels, f"(x - a) / nullif(a, 0) <= {near}"),
         prices=prices,
     ).where(f"place <= {most}")
 

@@ -50,7 +50,7 @@ def round_number(x: Column, within: float = 0.003) -> Column:
         F.when(x >= 1000, near(1000.0, 500.0, 100.0, 50.0)).when(x >= 100, near(100.0, 50.0, 10.0, 5.0)).when(x >= 10, near(10.0, 5.0, 0.5, 0.25)).when(x >= 1, near(0.5, 0.25, 0.1))
         .when(x >= 1e-4, near(1e-4, 1e-5, 1e-6)).otherwise(near(1e-8, 1e-9, 1e-10))
     )
-    hits = F.filter(steps, lambda s: (s > 0) & (F.abs(s - x) / x < within))
+    hits = F.filter(steps, lambda s: (s > 0) & F.coalesce(F.try_divide(F.abs(s - x), x) < within, F.lit(False)))
     return F.coalesce(F.get(hits, F.lit(0)), x)
 
 
@@ -75,11 +75,11 @@ def body_anchors(levels: DataFrame, bars: DataFrame, atr: DataFrame, within: flo
             e as (select symbol, i, n, atr, abs(close - open) as body, explode(array(struct(open as p, 1.0D as bonus, if(close > open, 'support', 'resistance') as side),
                 struct(close as p, 0.5D as bonus, if(close > open, 'resistance', 'support') as side), struct(high as p, 0.0D as bonus, 'resistance' as side), struct(low as p, 0.0D as bonus, 'support' as side))) as x from s),
             c as (select l.symbol, l.price, l.side, e.x.p as anchor, e.x.bonus > 0 as body_edge, abs(e.x.p - l.price) as distance,
-                e.x.bonus + least(1.0D, e.body / (e.atr * 2)) + (1.0D - (e.n - 1 - e.i) / e.n) * 0.5 - abs(e.x.p - l.price) / (e.atr * {within}) * 0.3 as score
+                e.x.bonus + least(1.0D, e.body / nullif(e.atr * 2, 0)) + (1.0D - (e.n - 1 - e.i) / e.n) * 0.5 - abs(e.x.p - l.price) / nullif(e.atr * {within}, 0) * 0.3 as score
               from {{levels}} l join e on e.symbol = l.symbol and e.x.side = l.side and abs(e.x.p - l.price) <= e.atr * {within}),
             r as (select *, row_number() over (partition by symbol, price, side order by body_edge desc, if(body_edge, -score, distance), anchor) as place from c)
             select l.symbol, l.price, l.side, coalesce(r.anchor, l.price) as anchor, case when r.body_edge then 'Body' when r.anchor is not null then 'Wick' else 'Stat' end as anchor_type,
-              round(abs(coalesce(r.anchor, l.price) - l.price) / l.price * 100, 3) as snap_pct
+              round(abs(coalesce(r.anchor, l.price) - l.price) / nullif(l.price, 0) * 100, 3) as snap_pct
             from {{levels}} l left join r on r.symbol = l.symbol and r.price = l.price and r.side = l.side and r.place = 1""",
         levels=levels,
         bars=_numbered(bars),
@@ -121,7 +121,7 @@ def cross_side(zones: DataFrame, within: float = 0.02) -> DataFrame:
     """Of a support and a resistance nearer than a share of the support, the lower scored goes (the resistance among equals)."""
     return _sql(
         f"""with p as (select s.symbol, s.price as sp, r.price as rp, s.score >= r.score as keep_support from {{z}} s join {{z}} r on r.symbol = s.symbol
-              where s.side = 'support' and r.side = 'resistance' and abs(s.price - r.price) / s.price < {within}),
+              where s.side = 'support' and r.side = 'resistance' and abs(s.price - r.price) / nullif(s.price, 0) < {within}),
             x as (select symbol, if(keep_support, rp, sp) as price, if(keep_support, 'resistance', 'support') as side from p)
             select z.* from {{z}} z left anti join x on x.symbol = z.symbol and x.price = z.price and x.side = z.side""",
         z=zones,
@@ -131,7 +131,7 @@ def cross_side(zones: DataFrame, within: float = 0.02) -> DataFrame:
 def nearest_zones(zones: DataFrame, prices: DataFrame, first_cut: int = 9, keep: int = 3, farthest: float = 0.30) -> DataFrame:
     """Per side: at most ``first_cut`` by nearness and quality, of which the ``keep`` nearest; ``place`` counts from the price."""
     return _sql(
-        f"""with d as (select z.*, p.last, abs(z.price - p.last) / p.last as distance from {{zones}} z join {{prices}} p on p.symbol = z.symbol where if(z.side = 'support', z.price < p.last, z.price >= p.last)),
+        f"""with d as (select z.*, p.last, abs(z.price - p.last) / nullif(p.last, 0) as distance from {{zones}} z join {{prices}} p on p.symbol = z.symbol where if(z.side = 'support', z.price < p.last, z.price >= p.last)),
             r as (select *, row_number() over (partition by symbol, side order by 0.8D * (1 - distance / {farthest}) + 0.2D * least(1.0D, score / 80) desc, price) as cut from d where distance <= {farthest}),
             n as (select *, row_number() over (partition by symbol, side order by distance, price) as place from r where cut <= {first_cut})
             select symbol, side, price, tier, score, touches, place, round(distance * 100, 1) as distance_pct from n where place <= {keep}""",

@@ -134,7 +134,7 @@ SWINGS = f"""body as ({_near('top', 'bottom')}), wick as ({_near('high', 'low')}
 _PROFILE = """ends as (select symbol, min(low) as lo, max(high) as hi from bars group by 1), bins as (select symbol, unnest(generate_series(0, {bins} - 1)) as bin, lo, (hi - lo) / {bins} as step from ends),
  c as (select symbol, bin, lo + step * (bin + 0.5::double) as center from bins),
  hit as (select c.symbol, bin, volume * exp(-ln(2) * (n - 1 - i) / greatest(n // 3, 10)) / count(*) over (partition by b.symbol, b.i) as w from c join b on b.symbol = c.symbol and center between low and high),
- profile as (select c.symbol, c.bin, center, coalesce(sum(w), 0) as volume from c left join hit using (symbol, bin) group by all)"""
+ profile as (select c.symbol, c.bin, center, round(coalesce(sum(w), 0), 9) as volume from c left join hit using (symbol, bin) group by all)"""
 _HIGHS = f"with {N}, {_extrema(5, '>', 'false')}, h as (select distinct symbol, price from x where kind = 'high')"
 _TOUCH = f"""{_extrema(2, '>=', 'true', 'u')}, {_extrema(5, '>=', 'true', 'v')}, {_extrema(10, '>=', 'true', 'w')},
  cand as (select symbol, price from u union select symbol, price from v union select symbol, price from w),

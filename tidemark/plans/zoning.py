@@ -64,7 +64,7 @@ def multi_window_levels(spark, d):
 
 
 def round_levels(spark, d):
-    p = F.col("l_extendedprice") / F.col("l_quantity")
+    p = F.try_divide("l_extendedprice", "l_quantity")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(p.alias("price")).distinct()
     x = F.col("price")
     return rows.select("price", Z.tiered_round(x, x).alias("tiered"), Z.display_grid(x).alias("grid"), Z.round_number(x).alias("snapped"))
