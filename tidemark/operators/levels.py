@@ -248,7 +248,7 @@ def merged_levels(levels: DataFrame, prices: DataFrame, near: float = 0.005, mos
         f"""with g as (select symbol, anchor, sum(price * strength * if(body, 1.5D, 1.0D)) / sum(strength * if(body, 1.5D, 1.0D)) as price,
                 sum(strength * case method when 'market_structure' then 0.40D when 'touch_count' then 0.25D when 'nison_body' then 0.15D else 0.10D end) as base,
                 count(distinct method) as methods, max(if(method = 'polarity_flip', 1, 0)) as flips, sum(touches) as touches, max(recency) as recency, concat_ws('+', array_sort(collect_set(method))) as method,
-                min_by(role, struct(case role when 'CHOCH' then 0 when 'flip' then 1 when 'BOS' then 2 else 9 end, price, method)) as role
+                min_by(role, struct(case when role like '%CHOCH%' then 0 when role like '%flip%' then 1 when role like '%BOS%' then 2 else 9 end, price, method, role)) as role
               from {{levels}} group by symbol, anchor),
             s as (select g.*, round(least(1.0D, least(1.0D, base + least(0.30D, (methods - 1) * 0.10D)) + flips * 0.10D) + 1e-9D, 4) as strength from g)
             select s.symbol, round(price, 8) as price, if(price < p.last, 'support', 'resistance') as side, strength, method, touches, recency, role,
@@ -263,7 +263,8 @@ def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.
     """Levels of swings that later closes have not invalidated, and weak ones of opposite side where they broke.
 
     A swing ends with two closes beyond it in a row or three weighted breaks; from two weighted breaks on it also
-    acts from the other side. Strength: by structural role, recent ones more, less for each break.
+    acts from the other side. Strength: by structural role, recent ones more, less for each break. ``structural`` has
+    role and structure in one (``HH_BOS``, ``flipped_support``).
     """
     return _sql(
         f"""with j as (select r.*, b.breaks, b.longest, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
@@ -273,6 +274,7 @@ def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.
                   case when breaks >= 3 then 0.1D when breaks <= 0 then 1.0D else greatest(0.1D, 1 - 0.3D * breaks) end as left, 1 + cast(floor(breaks) as bigint) as touches),
                 struct(true as flipped, breaks >= 2 as here, 0.30D as base, 1.0D as left, 1L as touches)), x -> x.here)) as x from j)
             select symbol, i as bar, price, source, if((kind = 'low') <> x.flipped, 'support', 'resistance') as side, x.flipped as flipped, if(x.flipped, 'flip', if(structural = 'CHOCH', 'CHOCH', role)) as role,
+              if(x.flipped, if(kind = 'high', 'flipped_resistance', 'flipped_support'), concat(role, '_', structural)) as structural, round(recency, 4) as recency,
               round((x.base * w * 0.7D + recency * 0.3D) * x.left + 1e-9D, 4) as strength, x.touches as touches from a""",
         roles=roles,
         breaks=breaks,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B, indicators as I, levels as L
+from tidemark.operators.lineage import stored
 from tidemark.plans.series import H, hourly, rounded
 
 
@@ -36,9 +37,12 @@ def break_counts(spark, d):
     return rounded(L.break_counts(_points(spark, d), hourly(spark, d), _atr(spark, d)))
 
 
+def _structure_levels(points, rows, atr):
+    return L.structure_levels(L.swing_roles(points), L.break_counts(points, rows, atr))
+
+
 def structure_levels(spark, d):
-    points = _points(spark, d)
-    return rounded(L.structure_levels(L.swing_roles(points), L.break_counts(points, hourly(spark, d), _atr(spark, d))), 5)
+    return rounded(_structure_levels(_points(spark, d), hourly(spark, d), _atr(spark, d)).drop("structural", "recency"), 5)
 
 
 def volume_profile(spark, d):
@@ -78,15 +82,26 @@ def flip_levels(spark, d):
     return rounded(L.flip_levels(hourly(spark, d), I.atr_last(hourly(spark, d)).withColumn("atr", F.col("atr") / 100)), 4)
 
 
+def _volume_levels(rows):
+    """High volume nodes by weight, the point of control at 0.9 and the bounds of the value area at 0.7."""
+    profile = stored(L.volume_profile(rows, 200))
+    area = L.value_area(profile).selectExpr("symbol", "stack(3, poc, 0.9D, low, 0.7D, high, 0.7D) as (price, strength)")
+    found = L.high_volume_nodes(profile).select("symbol", "price", F.col("weight").alias("strength")).unionByName(area)
+    return found.select("symbol", "price", "strength", F.lit("volume_profile").alias("method"), F.lit(0).cast("bigint").alias("touches"), F.lit(0.0).alias("recency"), F.lit("").alias("role"), F.lit(False).alias("body"))
+
+
 def _all_levels(spark, d):
-    rows = hourly(spark, d)
+    rows = stored(hourly(spark, d))  # bars, swings, profile and levels are used several times; one plan of all is too deep
+    atr = I.atr_last(rows)
     none = F.lit("")
     touch = L.touch_levels(rows).select("symbol", "price", "strength", F.lit("touch_count").alias("method"), "touches", "recency", none.alias("role"), F.lit(False).alias("body"))
-    edge = L.body_edge_levels(rows, I.atr_series(rows).select("symbol", "ts", "atr"), _atr(spark, d), 1.0)
+    edge = L.body_edge_levels(rows, I.atr_series(rows).select("symbol", "ts", "atr"), atr, 1.0)
     edge = edge.select("symbol", "price", "strength", F.lit("nison_body").alias("method"), "touches", "recency", none.alias("role"), F.lit(True).alias("body"))
-    flip = L.flip_levels(rows, I.atr_last(rows).withColumn("atr", F.col("atr") / 100))
+    flip = L.flip_levels(rows, atr.withColumn("atr", F.col("atr") / 100))
     flip = flip.select("symbol", "price", "strength", F.lit("polarity_flip").alias("method"), "touches", "recency", F.lit("flip").alias("role"), F.lit(True).alias("body"))
-    return touch.unionByName(edge).unionByName(flip)
+    swing = _structure_levels(stored(L.swings(rows, atr)), rows, atr)
+    swing = swing.select("symbol", "price", "strength", F.lit("market_structure").alias("method"), "touches", "recency", F.col("structural").alias("role"), (F.col("source") == "body").alias("body"))
+    return stored(touch.unionByName(edge).unionByName(flip).unionByName(swing).unionByName(_volume_levels(rows)))
 
 
 def _prices(spark, d):
