@@ -44,19 +44,38 @@ def _fractal(bars: DataFrame, top: str, bottom: str, half: int) -> DataFrame:
     )
 
 
+def spaced_swings(points: DataFrame, atr: DataFrame, apart: float = 1.0) -> DataFrame:
+    """Swings in order (the high of a bar first) without those of less than ``apart`` ATR of movement.
+
+    A swing within that distance of the last kept swing of the other kind is dropped; one within it of the last kept of
+    its own kind takes the place of all kept at that price if it goes further, and is dropped otherwise.
+    """
+    keep = lambda kind: f"struct(concat(s.kept, array(x)) as kept, {'x.price' if kind == 'high' else 's.high'} as high, {'x.price' if kind == 'low' else 's.low'} as low)"
+    swap = lambda kind: keep(kind).replace("concat(s.kept,", f"concat(filter(s.kept, v -> not (v.kind = '{kind}' and v.price = s.{kind})),")
+    turn = lambda kind, other, op: f"""case when abs(x.price - s.{other}) < least then s when abs(x.price - s.{kind}) < least then if(x.price {op} s.{kind}, {swap(kind)}, s) else {keep(kind)} end"""
+    return _sql(
+        f"""select symbol, x.i as i, x.n as n, x.kind as kind, x.price as price from (select symbol, explode(if(least > 0, aggregate(all, struct(slice(all, 1, 0) as kept, cast(null as double) as high, cast(null as double) as low),
+              (s, x) -> if(x.kind = 'high', {turn('high', 'low', '>')}, {turn('low', 'high', '<')})).kept, all)) as x
+            from (select p.symbol, a.atr * {apart} as least, array_sort(collect_list(struct(p.i, p.kind, p.n, p.price))) as all from {{points}} p join {{atr}} a on a.symbol = p.symbol group by p.symbol, a.atr))""",
+        points=points,
+        atr=atr,
+    )
+
+
 def swings(bars: DataFrame, atr: DataFrame, window: int = 5, apart: float = 1.0) -> DataFrame:
-    """Body swings, and the wick swings that no body swing of the symbol lies within ``apart`` ATR of."""
+    """Body swings, and the wick swings that no body swing of the symbol lies within ``apart`` ATR of, spaced by as much."""
     body = _fractal(bars, "top", "bottom", window // 2)
-    wick = _fractal(bars, "high", "low", window // 2)
-    return _sql(
-        """select symbol, i, n, kind, price, 'body' as source from {body} union all
-           select w.symbol, w.i, w.n, w.kind, w.price, 'wick' from {wick} w join {atr} a on w.symbol = a.symbol
-             left anti join {body} b on b.symbol = w.symbol and abs(w.price - b.price) < a.atr * """
-        + str(apart),
+    wick = _sql(
+        """select w.* from {wick} w join {atr} a on w.symbol = a.symbol left anti join {body} b on b.symbol = w.symbol and abs(w.price - b.price) < a.atr * """ + str(apart),
         body=body,
-        wick=wick,
+        wick=_fractal(bars, "high", "low", window // 2),
         atr=atr,
     )
+    return _sql(
+        "select symbol, i, n, kind, price, 'body' as source from {body} union all select symbol, i, n, kind, price, 'wick' from {wick}",
+        body=body,
+        wick=spaced_swings(wick, atr, apart),
+    )
 
 
 def swing_roles(points: DataFrame) -> DataFrame:
