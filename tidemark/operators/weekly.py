@@ -18,18 +18,31 @@ def pivots(bars: DataFrame, k: int = 2) -> DataFrame:
     )
 
 
-def structure(bars: DataFrame, k: int = 2, keep: int = 4, least: int = 16, beyond: float = 0.003) -> DataFrame:
+def structure(bars: DataFrame, k: int = 2, keep: int = 4, least: int = 16, beyond: float = 0.003, stale: int = 6, stale_move: float = 0.10) -> DataFrame:
     """For each symbol with at least ``least`` bars: sequence of its last two pivots of either kind (HH+HL and so on),
-    trend, and whether the last close breaks the last pivot high (tested first) or low: BOS with the trend, CHOCH against."""
+    trend, and whether the last close breaks the last pivot high (tested first) or low: BOS with the trend, CHOCH against.
+
+    Where the last pivot of a kind was confirmed ``stale`` weeks ago or earlier and the last body lies ``stale_move`` beyond
+    it, the extreme body of the last ``stale`` bars becomes the last pivot, confirmed by the last bar. ``strength`` of a
+    signal, 0 to 3: two pivots of either kind, body 1 % beyond the pivot, body as large as the mean true range of ten
+    bars. ``weeks_in_state``: weeks since the last pivot was confirmed, 0 unless there are both kinds.
+    """
     return _sql(
         f"""with r as (select *, row_number() over (partition by symbol, kind order by i desc) as age from {{p}}),
-            s as (select symbol, max(if(kind = 'high' and age = 1, price, null)) as h1, max(if(kind = 'high' and age = 2, price, null)) as h2, max(if(kind = 'low' and age = 1, price, null)) as l1,
-                max(if(kind = 'low' and age = 2, price, null)) as l2, count_if(age <= {keep}) as pivots from r group by symbol),
-            c as (select symbol, max_by(close, i) as last, max(n) as n, max(ts) as as_of from {{b}} group by symbol),
-            q as (select c.*, s.* except (symbol), case when h2 is null or l2 is null then 'Incomplete' else concat(if(h1 > h2, 'HH', 'LH'), '+', if(l1 > l2, 'HL', 'LL')) end as sequence from c left join s on s.symbol = c.symbol where n >= {least}),
-            t as (select *, case sequence when 'HH+HL' then 'UP' when 'LH+LL' then 'DOWN' else 'RANGING' end as trend from q)
-            select symbol, n as bars, as_of, sequence, trend, h1 as last_high, l1 as last_low, coalesce(pivots, 0) as pivots,
-              case when last > h1 * (1 + {beyond}) then if(trend in ('UP', 'RANGING'), 'BOS_UP', 'CHOCH_UP') when last < l1 * (1 - {beyond}) then if(trend in ('DOWN', 'RANGING'), 'BOS_DOWN', 'CHOCH_DOWN') else 'NONE' end as signal from t""",
+            s as (select symbol, max(if(kind = 'high' and age = 1, price, null)) as ph1, max(if(kind = 'high' and age = 2, price, null)) as ph2, max(if(kind = 'low' and age = 1, price, null)) as pl1,
+                max(if(kind = 'low' and age = 2, price, null)) as pl2, max(if(kind = 'high' and age = 1, confirmed_on, null)) as ph_on, max(if(kind = 'low' and age = 1, confirmed_on, null)) as pl_on, count_if(age <= {keep}) as pivots from r group by symbol),
+            w as (select *, greatest(high - low, abs(high - lag(close) over (partition by symbol order by i)), abs(low - lag(close) over (partition by symbol order by i))) as tr from {{b}}),
+            c as (select symbol, max_by(close, i) as last, max_by(top, i) as top, max_by(bottom, i) as bottom, max(n) as n, max(ts) as as_of, max(if(i >= n - {stale}, top, null)) as peak, min(if(i >= n - {stale}, bottom, null)) as trough,
+                if(max(n) > 10, avg(if(i >= n - 10, tr, null)), null) as atr from w group by symbol),
+            m as (select c.*, s.* except (symbol), coalesce(datediff(as_of, ph_on) div 7 >= {stale} and (top - ph1) / ph1 >= {stale_move} and peak > ph1, false) as stale_high,
+                coalesce(datediff(as_of, pl_on) div 7 >= {stale} and (pl1 - bottom) / pl1 >= {stale_move} and trough < pl1, false) as stale_low from c left join s on s.symbol = c.symbol where n >= {least}),
+            f as (select *, if(stale_high, peak, ph1) as h1, if(stale_high, ph1, ph2) as h2, if(stale_low, trough, pl1) as l1, if(stale_low, pl1, pl2) as l2, if(stale_high, as_of, ph_on) as h_on, if(stale_low, as_of, pl_on) as l_on from m),
+            q as (select *, case when h2 is null or l2 is null then 'Incomplete' else concat(if(h1 > h2, 'HH', 'LH'), '+', if(l1 > l2, 'HL', 'LL')) end as sequence from f),
+            t as (select *, case sequence when 'HH+HL' then 'UP' when 'LH+LL' then 'DOWN' else 'RANGING' end as trend from q),
+            g as (select *, case when last > h1 * (1 + {beyond}) then if(trend in ('UP', 'RANGING'), 'BOS_UP', 'CHOCH_UP') when last < l1 * (1 - {beyond}) then if(trend in ('DOWN', 'RANGING'), 'BOS_DOWN', 'CHOCH_DOWN') else 'NONE' end as signal from t)
+            select symbol, n as bars, as_of, sequence, trend, h1 as last_high, l1 as last_low, coalesce(pivots, 0) + cast(stale_high as bigint) + cast(stale_low as bigint) as pivots, signal,
+              if(signal = 'NONE', 0, if(h2 is not null and l2 is not null, 1, 0) + if(if(endswith(signal, 'UP'), (top - h1) / h1, (l1 - bottom) / l1) >= 0.01, 1, 0) + if(coalesce(atr > 0 and top - bottom >= atr, false), 1, 0)) as strength,
+              if(h1 is null or l1 is null, 0, greatest(0, datediff(as_of, greatest(h_on, l_on)) div 7)) as weeks_in_state from g""",
         p=pivots(bars, k),
         b=_numbered(bars),
     )

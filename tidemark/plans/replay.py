@@ -121,6 +121,12 @@ def weekly_structure(spark, d):
     return rounded(rows.select("symbol", "bars", "sequence", "trend", "last_high", "last_low", "pivots", "signal"), 4)
 
 
+def weekly_signals(spark, d):
+    """Signal of the last week with its strength, and the weeks in the present state."""
+    rows = K.structure(B.resample(shipped(spark, d), "week", AS_OF))
+    return rows.select("symbol", "as_of", "signal", F.col("strength").cast("bigint").alias("strength"), F.col("weeks_in_state").cast("bigint").alias("weeks_in_state"))
+
+
 def gated_regimes(spark, d):
     """Three-view regimes with a table of gates: open where no view is down."""
     states = S.three_timeframes(hourly(spark, d))
@@ -164,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_hit_exit, backtest_single, backtest_pooled, trade_stats, monthly_pivot, equity_drawdown, fee_grid, btc_floor_join, asof_daily_to_hourly, ref_match_f1, missed_refs,
-        price_extract, context_levels, level_consensus, pivots_confirmed, weekly_structure, gated_regimes, token_universe, tier_check, event_props, content_drift,
+        price_extract, context_levels, level_consensus, pivots_confirmed, weekly_structure, weekly_signals, gated_regimes, token_universe, tier_check, event_props, content_drift,
     )
 }
 
