@@ -9,7 +9,7 @@ Plan: readings are cut into blocks of ``block_steps`` steps. One row a block hol
 (never more than ``16 * block_steps``, as readings within a sixteenth of a step are averaged); the block takes
 the last and first ``context`` readings of its nearest blocks with readings, by a window over the narrow table
 of blocks. Blocks are independent after that, so one hot source is spread over all tasks, and in Python
-all blocks of a batch run through the recursions together. Readings further than ``context`` before or after a
+all blocks of a batch run through the recursions together. Readings further before or after a
 block have no weight worth the name: tests hold the result against one pass over the whole source.
 
 Defined cases: a null, NaN, infinite, zero or negative value is no reading; a row without source, time or grid
@@ -152,14 +152,17 @@ def regular_grid(
     rows_ = merged.select("e", "step", block.alias("block"), F.expr(f"{origin} + d div n").alias("t"), (F.col("y") / F.col("n")).alias("y"), "n").where("e is not null and block is not null")
     blocks = rows_.groupBy("e", "block").agg(F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("t", "y", "n"))).alias("r"))
     pairs = F.zip_with(F.expr("slice(r, 1, size(r) - 1)"), F.expr("slice(r, 2, greatest(size(r) - 1, 0))"), lambda p, q: (q["y"] - p["y"]) * (q["y"] - p["y"]))
+    # by number or by time, whichever reaches further
+    first = lambda r: F.expr(f"filter({r}, (x, i) -> i < {context} or x.t <= {r}[0].t + {context} * step)")
+    last = lambda r: F.expr(f"filter({r}, (x, i) -> i >= size({r}) - {context} or x.t >= element_at({r}, -1).t - {context} * step)")
     narrow = blocks.select(
         "e",
         "block",
         "step",
         F.expr("(r[0].t - pmod(r[0].t, step)) div step").alias("first_slot"),
         F.expr("(element_at(r, -1).t - pmod(element_at(r, -1).t, step)) div step").alias("last_slot"),
-        F.slice("r", 1, context).alias("head"),
-        F.expr(f"slice(r, greatest(size(r) - {context}, 0) + 1, {context})").alias("tail"),
+        first("r").alias("head"),
+        last("r").alias("tail"),
         F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x).alias("moved"),
         F.expr("(element_at(r, -1).t - r[0].t) / step").alias("span"),
         F.expr("r[0].y").alias("y0"),
@@ -172,8 +175,8 @@ def regular_grid(
     around = near.select(
         "e",
         "block",
-        F.expr(f"slice(before, greatest(size(before) - {context}, 0) + 1, {context})").alias("before"),
-        F.slice("after", 1, context).alias("after"),
+        last("before").alias("before"),
+        first("after").alias("after"),
         F.when(F.lag("block").over(by).isNull(), F.col("first_slot")).otherwise(F.col("block") * block_steps).alias("lo"),
         F.coalesce(F.lead("block").over(by) * block_steps - 1, F.col("last_slot")).alias("hi"),
         F.sum("moved").over(whole).alias("moved"),
