@@ -45,3 +45,8 @@ def test_against_brute_force_with_a_hot_message(spark):
         expected += [(d,)] if key in seen else []
         seen.add(key)
     assert rows(repeated_deliveries(frame(spark, data).repartition(7))) == sorted(expected, key=str)
+
+
+def test_each_row_without_identifier_is_kept(spark):
+    df = frame(spark, [("a", None, 1), ("a", "", 1), ("a", None, 1), ("a", "x", 1)])
+    assert len(rows(first_deliveries(df))) == 4 and rows(repeated_deliveries(df)) == []

@@ -3,7 +3,7 @@ import datetime as dt
 from tests.conftest import rows
 from tidemark.operators.scoring import manual_levels
 from tidemark.sources.candle_files import read_candle_csv, read_level_lines, write_candles, write_documents
-from tidemark.streaming.candles import candle_stream, hysteresis_stream, once
+from tidemark.streaming.candles import candle_stream, hysteresis_stream, once, store_once
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -23,13 +23,14 @@ def test_files(spark, tmp_path):
 
 
 def drive(spark, tmp_path, batches, schema, build, name):
-    """Feeds one file a batch through a query and returns what it wrote."""
+    """Feeds one batch after the other through a query and returns what it wrote."""
     source = tmp_path / name
-    for k, data in enumerate(batches):
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(source / f"b{k}"))
+    source.mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
     query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}_c")).start()
-    query.processAllAvailable()
+    for k, data in enumerate(batches):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(source / f"b{k}"))
+        query.processAllAvailable()
     query.stop()
     return rows(spark.table(name))
 
@@ -44,7 +45,18 @@ def test_candles(spark, tmp_path):
 def test_once_and_state(spark, tmp_path):
     schema = "source string, message_id string, received_at timestamp, n int"
     got = drive(spark, tmp_path, [[("s", "007", T0, 1)], [("s", "7", T0, 2), ("t", "7", T0, 3)]], schema, once, "once")
-    assert len(got) == 2 and {r[0] for r in got} == {"s", "t"}
+    assert sorted((r[0], r[3]) for r in got) == [("s", 1), ("t", 3)]
     values = [[("a", T0, 65.0)], [("a", T0 + dt.timedelta(1), 55.0)], [("a", T0 + dt.timedelta(2), 45.0)]]
     got = drive(spark, tmp_path, values, "symbol string, ts timestamp, value double", lambda s: hysteresis_stream(s, 60, 50), "state")
-    assert sorted((r[2], r[3]) for r in got) in ([(45.0, False), (55.0, True), (65.0, True)], [(45.0, False), (55.0, False), (65.0, True)])
+    assert sorted((r[2], r[3]) for r in got) == [(45.0, False), (55.0, True), (65.0, True)]
+
+
+def test_store_once_however_late(spark, tmp_path):
+    schema = "source string, message_id string, delivery_id bigint, received_at timestamp"
+    source, out, state = tmp_path / "late", str(tmp_path / "kept"), str(tmp_path / "late_c")
+    source.mkdir()
+    for k, data in enumerate([[("s", "7", 1, T0), ("s", None, 2, T0)], [("s", "9", 3, T0 + dt.timedelta(400))], [("s", "007", 4, T0 + dt.timedelta(800)), ("s", None, 5, T0)]]):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(source / f"b{k}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
+        store_once(stream, out, state).awaitTermination()
+    assert rows(spark.read.parquet(out), "delivery_id") == [(1,), (2,), (3,), (5,)]

@@ -40,6 +40,15 @@ def test_edges(spark):
     data = [(None, day(0), 1.0, 1.0, None, 1), (1, None, 1.0, 1.0, None, 1), (2, day(0), nan, float("inf"), None, 1), (3, day(0), 1.0, 5.0, day(1), 1), (3, day(0), 9.0, 7.0, day(2), 1), (4, day(3), 1e300, None, None, 1)]
     got = {r.feed_id: r for r in trailing_periods(spark.createDataFrame(data, SCHEMA)).collect()}
     assert set(got) == {2, 3, 4}
-    assert got[2].volume_total_7 == 0 and got[2].close_avg_7 is None and got[4].volume_total_30 == 0
+    assert got[2].volume_total_7 == 0 and got[2].close_avg_7 is None and got[4].volume_total_30 == 1e300
     assert (got[3].volume_total_7, got[3].close_avg_7, got[3].bars) == (9.0, 7.0, 1)
     assert trailing_periods(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_very_large_and_very_small_values(spark):
+    data = [(1, day(0), 2e16, 1e-13, None, 1), (1, day(1), 1.5, 3e-13, None, 1), (1, day(9), 3e22, 1e25, None, 1), (1, day(20), 0.25, 2.0, None, 1)]
+    got = {(r.feed_id, r.day): r for r in trailing_periods(spark.createDataFrame(data, SCHEMA)).collect()}
+    r = got[1, "2024-01-02"]
+    assert r.volume_total_7 == 2e16 + 1.5 and abs(r.close_avg_7 - 2e-13) < 1e-25
+    assert got[1, "2024-01-10"].volume_total_7 == 3e22 and got[1, "2024-01-10"].close_avg_7 == 1e25
+    assert got[1, "2024-01-21"].volume_total_7 == 0.25 and got[1, "2024-01-21"].close_avg_7 == 2.0

@@ -4,8 +4,8 @@ A message is identified by ``(scope columns, canonical identifier)``. Deliveries
 the first one is kept. ``row_number() = 1`` is planned with a group limit below the exchange, so every map
 task sends at most one row of a message: a message that holds a third of all rows does not make a hot task.
 
-Defined cases: a delivery whose identifier is null, empty or blank is a message of its own and always kept;
-a null scope value is a scope like any other; of rows with equal arrival one is kept, chosen by a hash over
+Defined cases: a delivery whose identifier is null, empty or blank is a message of its own and always kept
+(such rows are not ranked at all, and pass beside the exchange); a null scope value is a scope like any other; of rows with equal arrival one is kept, chosen by a hash over
 the whole row; an empty table gives an empty table; further columns pass through whatever their names.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.text import identifier_key
 
 
-
 def _free(columns: Sequence[str], *names: str) -> list[str]:
     """``names`` with underscores added until no column has them."""
     taken, out = {c.lower() for c in columns}, []
@@ -29,12 +28,6 @@ def _free(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
-def _keyed(df: DataFrame, identifier: str, arrival: Sequence[str], key: str, alone: str) -> DataFrame:
-    """Adds the canonical identifier and, where there is none, a value that keeps the row apart."""
-    canonical = identifier_key(F.col(identifier))
-    return df.withColumn(key, canonical).withColumn(alone, F.when(F.col(key).isNull(), F.xxhash64(*(F.col(c) for c in arrival), F.lit(7))))
-
-
 def _rank_one(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     (rank,) = _free(df.columns, "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
@@ -45,9 +38,11 @@ def first_deliveries(
 ) -> DataFrame:
     """One row for each message: its first delivery by ``arrival`` (nulls last), all columns kept."""
     columns = df.columns
-    key, alone = _free(columns, "key", "alone")
+    (key,) = _free(columns, "key")
     order = [F.col(c).asc_nulls_last() for c in arrival] + [F.xxhash64(*(F.col(c) for c in columns))]
-    return _rank_one(_keyed(df, identifier, arrival, key, alone), [*scope, key, alone], order).select(*columns)
+    keyed = df.withColumn(key, identifier_key(F.col(identifier)))
+    first = _rank_one(keyed.where(F.col(key).isNotNull()), [*scope, key], order).select(*columns)
+    return first.unionByName(keyed.where(F.col(key).isNull()).select(*columns))
 
 
 def repeated_deliveries(

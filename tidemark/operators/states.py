@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.operators import indicators as I
+from tidemark.operators.sizing import small
+
 
 def upto() -> WindowSpec:
     return I.by().rowsBetween(Window.unboundedPreceding, 0)
@@ -54,8 +56,12 @@ def three_timeframes(bars: DataFrame, timeframes: dict[str, tuple[int, int, int]
 
 
 def gated(states: DataFrame, gates: DataFrame) -> DataFrame:
-    """Adds ``gate`` from a table ``gate_key, gate``; false for keys that it has not. The table has one row a key, 27 at most."""
-    return states.join(F.broadcast(gates.select("gate_key", "gate").dropDuplicates(["gate_key"]).limit(27)), "gate_key", "left").withColumn("gate", true(F.col("gate")))
+    """Adds ``gate`` from a table ``gate_key, gate`` of any length; false for keys that it has not.
+
+    A key with several rows is open only if all of them are; a null gate is shut, and null keys match nothing.
+    """
+    table = gates.groupBy("gate_key").agg(F.bool_and(true(F.col("gate"))).alias("gate"))
+    return states.join(small(table, gates), "gate_key", "left").withColumn("gate", true(F.col("gate")))
 
 
 # Thresholds of the directional regime.

@@ -21,9 +21,15 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_new_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of the odd batches that no even batch has."""
+    """Messages of the later batches that none of the earlier ones, taken as stored, has.
+
+    The later ones begin half way between the first and the last batch; a row without batch counts as new.
+    """
     rows = table(spark, d, "candle_deliveries")
-    return new_messages(rows.where("batch_id % 2 = 1"), rows.where("batch_id % 2 = 0"))
+    # a scalar subquery over the same table
+    half = table(spark, d, "candle_deliveries").select(((F.min("batch_id") + F.max("batch_id")) / 2).alias("half")).scalar()
+    cut = rows.withColumn("later", F.coalesce(F.col("batch_id") > half, F.lit(True)))
+    return new_messages(cut.where("later").drop("later"), cut.where("not later").drop("later"))
 
 
 def p2_trailing(spark: SparkSession, d: str) -> DataFrame:
@@ -73,17 +79,19 @@ SQL = {
     "p1_found": _ID + "select delivery_id from (select delivery_id, row_number() over (partition by source, k order by delivery_id) as r from named where k <> '') where r > 1",
     "p1_kept": _ID + f"select {_KEPT_COLUMNS} from (select *, row_number() over (partition by source, k, case when k is null or k = '' then delivery_id end order by delivery_id) as r from named) where r = 1",
     "p1_new_batches": _ID
-    + f"""select {_KEPT_COLUMNS} from (select *, row_number() over (partition by source, k, case when k is null or k = '' then delivery_id end order by delivery_id) as r
-       from named where batch_id % 2 = 1) a where r = 1 and not exists (select 1 from named b where b.batch_id % 2 = 0 and b.source = a.source and b.k = a.k and b.k <> '')""",
+    + f""", cut as (select *, coalesce(batch_id > (select (min(batch_id) + max(batch_id)) / 2 from candle_deliveries), true) as later from named)
+     select {_KEPT_COLUMNS} from (select *, row_number() over (partition by source, k, case when k is null or k = '' then delivery_id end order by delivery_id) as r
+       from cut where later) a where r = 1 and not exists (select 1 from cut b where not b.later and b.source = a.source and b.k = a.k and b.k <> '')""",
     "p2_trailing": """
-with bars as (select distinct feed_id, ts, volume, close from daily_candles),
- daily as (select feed_id, cast(ts as date) as day, sum(cast(cast(volume as varchar) as decimal(28,8))) as v, sum(cast(cast(close as varchar) as decimal(28,12))) as c, count(close) as nc, count(*) as n from bars group by all),
+with ranked as (select *, row_number() over (partition by feed_id, ts order by loaded_at desc nulls last, volume desc nulls last, close desc nulls last) as r from daily_candles where feed_id is not null and ts is not null),
+ bars as (select feed_id, ts, volume, close, cast(cast(volume as varchar) as decimal(33,12)) as dv, cast(cast(close as varchar) as decimal(33,12)) as dc from ranked where r = 1),
+ daily as (select feed_id, cast(ts as date) as day, sum(dv) as v, sum(dc) as c, sum(volume - dv::double) as rv, sum(close - dc::double) as rc, count(close) as nc, count(*) as n from bars group by all),
  ends as (select feed_id, min(day) as a, max(day) as b from daily group by 1),
  days as (select feed_id, cast(unnest(generate_series(a, b, interval 1 day)) as date) as day from ends),
- w as (select d.feed_id, d.day, coalesce(n, 0) as bars, coalesce(v, 0) as v, coalesce(c, 0) as c, coalesce(nc, 0) as nc from days d left join daily using (feed_id, day))
+ w as (select d.feed_id, d.day, coalesce(n, 0) as bars, coalesce(v, 0) as v, coalesce(c, 0) as c, coalesce(rv, 0) as rv, coalesce(rc, 0) as rc, coalesce(nc, 0) as nc from days d left join daily using (feed_id, day))
 select feed_id, strftime(day, '%Y-%m-%d') as day, cast(bars as bigint) as bars,
-  cast(sum(bars) over s as bigint) as bars_7, cast(cast(sum(v) over s as varchar) as double) as volume_total_7, case when sum(nc) over s > 0 then cast(cast(sum(c) over s as varchar) as double) / cast(sum(nc) over s as double) end as close_avg_7,
-  cast(sum(bars) over l as bigint) as bars_30, cast(cast(sum(v) over l as varchar) as double) as volume_total_30, case when sum(nc) over l > 0 then cast(cast(sum(c) over l as varchar) as double) / cast(sum(nc) over l as double) end as close_avg_30
+  cast(sum(bars) over s as bigint) as bars_7, cast(cast(sum(v) over s as varchar) as double) + sum(rv) over s as volume_total_7, case when sum(nc) over s > 0 then (cast(cast(sum(c) over s as varchar) as double) + sum(rc) over s) / cast(sum(nc) over s as double) end as close_avg_7,
+  cast(sum(bars) over l as bigint) as bars_30, cast(cast(sum(v) over l as varchar) as double) + sum(rv) over l as volume_total_30, case when sum(nc) over l > 0 then (cast(cast(sum(c) over l as varchar) as double) + sum(rc) over l) / cast(sum(nc) over l as double) end as close_avg_30
 from w window s as (partition by feed_id order by day rows between 6 preceding and current row), l as (partition by feed_id order by day rows between 29 preceding and current row)""",
     "p4_found": f"""
 with t as (select run_id, upper(trim(symbol)) as w, {_DAY.format('entry_date')} as a, {_DAY.format('exit_date')} as x, coalesce(trim(exit_date), '') = '' as open from trades),

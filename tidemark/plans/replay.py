@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions.text import day_of, source_key, trimmed
-from tidemark.operators import backtest as R, bars as B, indicators as I, levels as L, scoring as C, states as S, weekly as K
+from tidemark.operators import backtest as R, bars as B, indicators as I, levels as L, scoring as C, states as S, universe as U, weekly as K
 from tidemark.plans.problems import _DAY
-from tidemark.plans.series import _RSI, AS_OF, D, H, hourly, rounded, shipped
+from tidemark.plans.series import _RSI, AS_OF, D, H, SQL as _SERIES, hourly, rounded, shipped
 from tidemark.plans.structure import _FLIP, _TOUCH, ATR, N
 from tidemark.sources.tables import table
 
-STABLE = ("USDT", "USDC", "DAI", "MAZEQ")
+STABLE = ("USDT", "USDC", "DAI")
+FIXES = {"MIOTA": "IOTA"}
+TARGET = 50
 
 
 def _entries(spark, d):
@@ -135,21 +137,16 @@ def gated_regimes(spark, d):
 
 
 def token_universe(spark, d):
-    """Ranked tokens without stable ones or malformed symbols, each symbol once, the first hundred."""
-    t = table(spark, d, "tokens").withColumn("symbol", F.upper(trimmed(F.col("symbol"))))
-    stable = spark.createDataFrame([(s,) for s in STABLE], "symbol string")
-    good = t.where((F.length("symbol") > 1) & ~F.col("symbol").contains("_") & F.col("market_cap_rank").isNotNull()).join(stable, "symbol", "left_anti")
-    first = good.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy("market_cap_rank", "id"))).where("r = 1")
-    return first.orderBy("market_cap_rank", "symbol").limit(100).select("symbol", "market_cap_rank", "tier")
+    """The first ranked tokens without stable ones or malformed symbols; tokens that candle tables know come first."""
+    known = table(spark, d, "feeds").select("symbol")
+    return U.token_universe(table(spark, d, "tokens"), known, STABLE, FIXES, TARGET)
 
 
 def tier_check(spark, d):
-    """Tokens by tier with the cumulative sets top_3 within selected within all, and how many break the inclusion."""
+    """Tokens by tier; the sets of the three tiers, each with the smaller ones, and symbols of a tier the next one lacks."""
     t = table(spark, d, "tokens")
-    rank = F.when(F.col("tier") == "top_3", 1).when(F.col("tier") == "selected", 2).otherwise(3)
-    rows = t.withColumn("k", rank).groupBy("k").agg(F.count("symbol").alias("members"))
-    upto = F.sum("members").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(F.element_at(F.array(F.lit("top_3"), F.lit("selected"), F.lit("all")), F.col("k")).alias("tier"), "members", upto.alias("cumulative"))
+    members = U.tier_sets(t)
+    return U.tier_inclusion(members)
 
 
 def event_props(spark, d):
@@ -198,6 +195,8 @@ _WK = f"""wk as (select symbol, date_trunc('week', ts)::timestamp as ts, arg_min
  w2 as (select *, lag(t) over w as t1, lag(t, 2) over w as t2, lead(t) over w as t3, lead(t, 2) over w as t4, lag(b) over w as b1, lag(b, 2) over w as b2, lead(b) over w as b3, lead(b, 2) over w as b4, lead(ts, 2) over w as confirmed_on from wb window w as (partition by symbol order by ts)),
  pv as (select symbol, i, 'high' as kind, t as price, confirmed_on from w2 where t > t1 and t > t2 and t > t3 and t > t4 union all select symbol, i, 'low', b, confirmed_on from w2 where b < b1 and b < b2 and b < b3 and b < b4)"""
 
+_MTF = _SERIES["mtf_regimes"]
+
 SQL = {
     "first_hit_exit": f"with {_ENTRY} select {_OUT} from tr",
     "backtest_single": f"""with recursive {_ENTRY}, go as (select symbol, min(entry_bar) as entry_bar from tr group by 1 union all select go.symbol, (select min(t.entry_bar) from tr t where t.symbol = go.symbol and t.entry_bar >= o.exit_bar and t.entry_bar > go.entry_bar) as entry_bar
@@ -229,10 +228,14 @@ SQL = {
  q as (select *, case when h2 is null or l2 is null then 'Incomplete' else case when h1 > h2 then 'HH' else 'LH' end || '+' || case when l1 > l2 then 'HL' else 'LL' end end as sequence from c left join s using (symbol)),
  t as (select *, case sequence when 'HH+HL' then 'UP' when 'LH+LL' then 'DOWN' else 'RANGING' end as trend from q)
  select symbol, n as bars, sequence, trend, round(h1, 4) as last_high, round(l1, 4) as last_low, coalesce(pivots, 0) as pivots, case when last > h1 * 1.003::double then case when trend = 'DOWN' then 'CHOCH_UP' else 'BOS_UP' end when last < l1 * 0.997::double then case when trend = 'UP' then 'CHOCH_DOWN' else 'BOS_DOWN' end else 'NONE' end as signal from t""",
-    "token_universe": f"""with t as (select id, upper(trim(symbol)) as symbol, market_cap_rank, tier from tokens), g as (select *, row_number() over (partition by symbol order by market_cap_rank, id) as r from t where length(symbol) > 1 and not contains(symbol, '_') and market_cap_rank is not null and symbol not in {STABLE})
- select symbol, market_cap_rank, tier from g where r = 1 order by market_cap_rank, symbol limit 100""",
-    "tier_check": """with k as (select case tier when 'top_3' then 1 when 'selected' then 2 else 3 end as k, count(*) as members from tokens group by 1)
- select ['top_3', 'selected', 'all'][k] as tier, members, (select sum(members) from k b where b.k <= k.k)::bigint as cumulative from k""",
+    "token_universe": f"""with t as (select id, case upper(trim(symbol)) when 'MIOTA' then 'IOTA' else upper(trim(symbol)) end as symbol, market_cap_rank, tier from tokens),
+ g as (select *, row_number() over (partition by symbol order by market_cap_rank, id) as r from t where length(symbol) > 1 and not contains(symbol, '_') and market_cap_rank is not null and symbol not in {STABLE}),
+ k as (select *, exists (select 1 from feeds f where upper(trim(f.symbol)) = g.symbol) as known from g where r = 1)
+ select symbol, market_cap_rank, tier, known from k order by known desc, market_cap_rank, symbol limit {TARGET}""",
+    "tier_check": """with k as (select upper(trim(symbol)) as s, case tier when 'top_3' then 1 when 'selected' then 2 else 3 end as k from tokens where nullif(trim(symbol), '') is not null),
+ m as (select distinct 'top_3' as tier, 1 as o, s from k where k = 1 union select distinct 'selected', 2, s from k where k <= 2 union select distinct 'all', 3, s from k)
+ select tier, count(*) as members, count(*) filter (not exists (select 1 from m b where b.o = a.o + 1 and b.s = a.s) and o < 3) as missing_above from m a group by tier""",
+    "gated_regimes": "with r as (" + _MTF + ") select symbol, count(*) filter (not contains(gate_key, 'D')) as open_bars, count(*) as bars from r group by 1",
     "event_props": "with k as (select unnest(json_keys(props)) as key from events) select key, count(*) as n from k group by 1",
     "content_drift": """with h as (select doc_id % 2 as half, sha256(text) as h from documents where text is not null), g as (select h, bool_or(half = 0) as a, bool_or(half = 1) as b from h group by 1)
  select case when not a then 'second only' when not b then 'first only' else 'same' end as state, count(*) as n from g group by 1""",
