@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 
-from tidemark.operators.outliers import implausible_bars, judge, rolling_median
+from tidemark.operators.outliers import implausible_bars, residuals, runs
 
 SCHEMA = "candle_id bigint, feed_id bigint, ts timestamp, open double, high double, low double, close double, volume double, far int"
 T0 = dt.datetime(2024, 1, 1)
@@ -68,10 +68,39 @@ def test_edges(spark):
     assert found(spark, data) == {4: (True, False, False)}
 
 
-def test_rolling_median():
-    x = np.random.default_rng(0).normal(size=30)
+def test_far_context_makes_no_difference(spark):
+    data = series(900, 7)
+    for k in range(298, 301):
+        data[k][7] = data[297][7]
+    for k in range(301, 640):  # a stuck run goes on behind a long stretch without volume
+        data[k][7] = None
+    data[640][7] = data[641][7] = data[297][7]
+    for k in range(640, 800):
+        if k % 9:
+            data[k][4:7] = [None] * 3
+    whole = found(spark, data, block_hours=1 << 20)
+    assert {x for x, v in whole.items() if v[2]} == {299, 300, 301, 641, 642}
+    assert found(spark, data, block_hours=20) == whole and found(spark, data, block_hours=100) == whole
+
+
+def test_a_walk_with_flat_bodies_is_normal(spark):
+    rng = np.random.default_rng(11)
+    c = 50 * np.exp(np.cumsum(rng.normal(0, 0.01, 20_000)))
+    data = [[i, 1, T0 + dt.timedelta(hours=i), x, x * 1.0001, x * 0.9999, x, 5.0 + i % 7, 0] for i, x in enumerate(c.tolist())]
+    assert len(found(spark, data)) < 20
+
+
+def test_residuals_and_runs():
+    rng = np.random.default_rng(0)
+    x, part = rng.normal(size=60), np.repeat([0, 1, 2], [30, 1, 29])
+    use = rng.random(60) < 0.8
     for half in (4, 20):
-        assert np.allclose(rolling_median(x, half), [np.median(x[max(0, i - half) : i + half + 1]) for i in range(30)])
-    assert len(rolling_median(np.zeros(0), 3)) == 0
-    flat = np.ones(5)
-    assert not np.any(judge(flat, flat, flat, flat, flat, 0.0, 0.0, [True] * 4, 12, 4, 3, 5))
+        got = residuals(x, use, part, half)
+        for k in range(3):
+            own = x[use & (part == k)]
+            want = [v - np.median(own[max(0, i - half) : i + half + 1]) for i, v in enumerate(own)]
+            assert np.allclose(got[use & (part == k)], want)
+        assert np.isnan(got[~use]).all()
+    nan = float("nan")
+    length, first = runs(np.array([1.0, 1.0, nan, 1.0, 2.0, 2.0]), np.array([0, 0, 0, 0, 0, 1]))
+    assert length.tolist() == [3, 3, 0, 3, 1, 1] and first.tolist() == [True, False, False, False, True, True]
