@@ -64,3 +64,40 @@ def test_edges(spark):
         assert mix_documents(df, targets).collect() == []
         assert all(r.reached_tokens == 0 for r in reached_shares(df, targets).collect())
     assert mix_documents(df.limit(0), spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)).collect() == []
+
+
+def test_inclusion_frequencies(spark):
+    """Copies of each document over many mixes with random numbers of their own, against its expected copies."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    sizes_ = [rng.choice((3, 5, 9, 20, 40, 90)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, "a", t) for i, t in enumerate(sizes_)], SIZES)
+    mixes, cap, total = 400, 3, 3000
+    targets = spark.createDataFrame([(f"m{k}", "a", 1.0, cap) for k in range(mixes)], TARGETS)
+    got = mix_documents(docs, targets, total, weight=F.col("tokens").cast("double")).cache()
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(t * min(cap, mid * t) for t in sizes_) < total else (low, mid)
+    mean = {r.doc: r.c / mixes for r in got.groupBy("doc").agg(F.sum("copies").alias("c")).collect()}
+    for i, t in enumerate(sizes_):
+        expected = min(cap, low * t)
+        assert math.floor(expected) <= mean.get(i, 0.0) <= math.ceil(expected)
+        assert abs(mean.get(i, 0.0) - expected) < 0.12
+    assert low * 90 > cap and low * 5 < 1  # some at the cap, some below one
+    sums = [r.s for r in got.groupBy("mix_name").agg(F.sum(F.col("tokens") * F.col("copies")).alias("s")).collect()]
+    assert len(sums) == mixes and all(abs(s - total) <= 45 for s in sums)
+
+
+def test_one_plan_and_no_job_while_it_is_built(spark):
+    from tidemark.llm.mixing import document_sizes
+
+    docs = spark.createDataFrame([(i, "a", "word " * i) for i in range(30)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    spark.sparkContext.setJobGroup(group, group)
+    mixed = mix_documents(document_sizes(docs), targets, 60)
+    assert not tracker.getJobIdsForGroup(group)
+    assert mixed.count() > 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -5,7 +5,7 @@ symbols, and a priority queue holds the merges that are possible, lowest rank fi
 equals. An entry whose symbols have changed since it was pushed is stale and skipped, so a word of n bytes takes
 n log n steps however long it is. Decoding concatenates the vocabulary's strings.
 
-The vocabulary file is read once in each Python worker from a path that is a parameter.
+The vocabulary file, whose path on the driver is a parameter, is shipped with the job and read once in each Python worker.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -105,6 +107,16 @@ def vocabulary(path: str = VOCABULARY) -> Bpe:
     return Bpe(path)
 
 
+def _shipped(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary file to the executors; sending it again changes nothing."""
+    df.sparkSession.sparkContext.addFile(path)
+
+
+def _at_hand(path: str) -> Bpe:
+    """The vocabulary in a worker: the shipped file."""
+    return vocabulary(SparkFiles.get(os.path.basename(path)))
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``key, ids`` (array of int) for every row, in one pass without a shuffle.
 
@@ -112,7 +124,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path).encode
+        encode = _at_hand(path).encode
         for batch in batches:
             keys, ids, size, first = batch[0], [], 0, 0
             for k, value in enumerate(batch[1]):
@@ -123,6 +135,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                     ids, size, first = [], 0, k + 1
             yield pa.RecordBatch.from_arrays([keys.slice(first, len(ids)), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
+    _shipped(df, path)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
     return rows.select(F.col("id").alias(key), "ids")
@@ -132,11 +145,12 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str =
     """Columns ``keep`` and ``tokens``, the number of ids of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path).encode
+        encode = _at_hand(path).encode
         for batch in batches:
             sizes = pa.array([len(encode(v.as_py())) for v in batch[0]], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes], names=[*batch.schema.names[1:], "tokens"])
 
+    _shipped(df, path)
     kinds = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     rows = df.select(F.col(text).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(run, f"{kinds}, tokens bigint")
     return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "tokens")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bpe import encode_texts
 from tidemark.llm.mixing import document_sizes, mix_documents, reached_shares
@@ -15,12 +15,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Longer documents come first: the odds grow with the root of the size."""
     sizes = document_sizes(table(spark, d, "documents"))
-    return mix_documents(sizes, table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
+    return mix_documents(sizes, table(spark, d, "mix_targets"), weight=F.sqrt("tokens")).withColumnRenamed("doc", "doc_id")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return reached_shares(document_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return reached_shares(document_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"), weight=F.sqrt("tokens"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
