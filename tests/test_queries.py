@@ -26,7 +26,8 @@ def plain(v):
 def names():
     import __spark_entry__
 
-    return list(__spark_entry__.queries())
+    # the queries of the text problems are tested beside their operators
+    return [name for plan in __spark_entry__._PLANS if "llm" not in plan.__name__ for name in plan.QUERIES]
 
 
 @pytest.fixture(scope="module")

@@ -14,10 +14,12 @@ TRADE = "symbol string, entry_bar bigint, entry_price double, take_profit double
 
 def first_hits(entries: DataFrame, bars: DataFrame, hold: int = 7) -> DataFrame:
     """Exit of every entry ``symbol, entry_bar, entry_price, take_profit, stop_loss``: the first later bar that reaches
-    the stop or the target (the stop where a bar reaches both), at the latest after ``hold`` bars at the close."""
+    the stop or the target (the stop where a bar reaches both), at the latest after ``hold`` bars at the close.
+
+    Entries meet exactly the bars they look at, by symbol and bar number, so no symbol is hot."""
     return _sql(
-        f"""with h as (select e.*, b.i, b.n, b.close, b.low <= e.stop_loss as stopped, b.high >= e.take_profit as reached from {{entries}} e join {{bars}} b
-              on b.symbol = e.symbol and b.i between e.entry_bar + 1 and e.entry_bar + {hold}),
+        f"""with p as (select *, explode(sequence(entry_bar + 1, entry_bar + {hold})) as at from {{entries}}),
+            h as (select p.*, b.i, b.n, b.close, b.low <= p.stop_loss as stopped, b.high >= p.take_profit as reached from p join {{bars}} b on b.symbol = p.symbol and b.i = p.at),
             x as (select symbol, entry_bar, entry_price, take_profit, stop_loss, min_by(struct(i, stopped, reached, close), if(stopped or reached, i, null)) as hit, max_by(struct(i, close), i) as final
               from h group by symbol, entry_bar, entry_price, take_profit, stop_loss)
             select symbol, entry_bar, entry_price, take_profit, stop_loss, coalesce(hit.i, final.i) as exit_bar,
@@ -56,8 +58,9 @@ def pooled(signals: DataFrame, bars: DataFrame, hold: int = 10, slots: int = 1)
     rows = _numbered(bars)
     book = _sql(
         f"""with e as (select s.*, b.i as signal_bar from {{signals}} s join {{bars}} b on b.symbol = s.symbol and b.ts = s.ts where b.i < b.n - 1),
+            p as (select *, explode(sequence(signal_bar + 1, signal_bar + {hold})) as pos from e),
             h as (select e.strategy, e.symbol, e.ts, e.rank, e.take_profit, e.stop_loss, e.signal_bar, b.i, b.ts as at, b.open, b.close, b.low <= e.stop_loss as stopped, b.high >= e.take_profit as reached
-              from e join {{bars}} b on b.symbol = e.symbol and b.i between e.signal_bar + 1 and e.signal_bar + {hold}),
+              from p e join {{bars}} b on b.symbol = e.symbol and b.i = e.pos),
             x as (select strategy, symbol, ts, rank, take_profit, stop_loss, min_by(struct(at, open), i) as entry, min_by(struct(i, at, stopped, reached, close), if(stopped or reached, i, null)) as hit, max_by(struct(i, at, close), i) as final, count(*) as seen
               from h group by strategy, symbol, ts, rank, take_profit, stop_loss)
             select strategy, symbol, ts as signal_ts, rank, entry.at as entry_ts, entry.open as entry_price, take_profit, stop_loss, coalesce(hit.at, final.at) as exit_ts,

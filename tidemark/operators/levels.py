@@ -6,7 +6,7 @@ bars are equi joins on the symbol with a range condition; clustering works on so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def _sql(text: str, **frames: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def spaced_swings(points: DataFrame, atr: DataFrame, apart: float = 1.0) -> Data
     return _sql(
         f"""select symbol, x.i as i, x.n as n, x.kind as kind, x.price as price from (select symbol, explode(if(least > 0, aggregate(all, struct(slice(all, 1, 0) as kept, cast(null as double) as high, cast(null as double) as low),
               (s, x) -> if(x.kind = 'high', {turn('high', 'low', '>')}, {turn('low', 'high', '<')})).kept, all)) as x
-            from (select p.symbol, a.atr * {apart} as least, array_sort(collect_list(struct(p.i, p.kind, p.n, p.price))) as all from {{points}} p join {{atr}} a on a.symbol = p.symbol group by p.symbol, a.atr))""",
+            from (select p.symbol, a.atr * {apart} as least, row_number() over (partition by p.symbol order by p.i, p.kind) as nth,
+                array_sort(collect_list(struct(p.i, p.kind, p.n, p.price)) over (partition by p.symbol)) as all from {{points}} p join {{atr}} a on a.symbol = p.symbol) where nth = 1)""",
         points=points,
         atr=atr,
     )
@@ -65,8 +66,13 @@ def spaced_swings(points: DataFrame, atr: DataFrame, apart: float = 1.0) -> Data
 def swings(bars: DataFrame, atr: DataFrame, window: int = 5, apart: float = 1.0) -> DataFrame:
     """Body swings, and the wick swings that no body swing of the symbol lies within ``apart`` ATR of, spaced by as much."""
     body = _fractal(bars, "top", "bottom", window // 2)
+    # the nearest body swings in price, below and above, instead of a comparison with all of them
     wick = _sql(
-        """select w.* from {wick} w join {atr} a on w.symbol = a.symbol left anti join {body} b on b.symbol = w.symbol and abs(w.price - b.price) < a.atr * """ + str(apart),
+        f"""with u as (select symbol, i, n, kind, price, false as body from {{wick}} union all select symbol, i, n, kind, price, true from {{body}}),
+            m as (select *, max(if(body, price, null)) over (partition by symbol order by price range between unbounded preceding and current row) as below,
+                min(if(body, price, null)) over (partition by symbol order by price range between current row and unbounded following) as above from u)
+            select m.symbol, i, n, kind, price from m join {{atr}} a on a.symbol = m.symbol
+            where not body and not coalesce(price - below < a.atr * {apart}, false) and not coalesce(above - price < a.atr * {apart}, false)""",
         body=body,
         wick=_fractal(bars, "high", "low", window // 2),
         atr=atr,
@@ -92,26 +98,63 @@ def swing_roles(points: DataFrame) -> DataFrame:
     )
 
 
-def break_counts(points: DataFrame, bars: DataFrame, atr: DataFrame, beyond: float = 0.25, most_volume: float = 2.0) -> DataFrame:
-    """How often later closes lie beyond a swing: breaks weighted by relative volume and the longest run of them.
+def _sums_beyond(lines: DataFrame, bars: DataFrame, near: int = 6) -> DataFrame:
+    """For each line ``symbol, i, kind, source, line`` the sum ``w`` of the weights of later bars whose close lies beyond it.
 
-    The newest swing of either kind is shielded: it has no breaks.
+    The bars behind a line are cut into ranges of twofold size, as many as their number has binary digits: in each range
+    bars and lines stand in order of price, and one running sum answers all lines. The first, short range (up to
+    ``2 ** near`` bars) is compared bar by bar. ``bars``: ``symbol, i, n, close, weight``.
     """
-    return _sql(
-        f"""with v as (select symbol, greatest(avg(volume), 1e-12) as mean from {{bars}} group by symbol),
-            s as (select p.*, p.i = max(p.i) over (partition by p.symbol, p.kind) as newest, a.atr, v.mean from {{points}} p join {{atr}} a on a.symbol = p.symbol join v on v.symbol = p.symbol),
-            h as (select s.symbol, s.i, s.kind, s.price, s.source, b.i as at, least(b.volume / s.mean, {most_volume}) as weight,
-                if(s.kind = 'high', b.close > s.price + {beyond} * s.atr, b.close < s.price - {beyond} * s.atr) as broken
-              from s join {{bars}} b on b.symbol = s.symbol and b.i > s.i where not newest),
-            g as (select *, at - row_number() over (partition by symbol, i, kind, source order by at) as run from h where broken),
-            r as (select symbol, i, kind, source, run, count(*) as length, sum(weight) as weight from g group by symbol, i, kind, source, run),
-            t as (select symbol, i, kind, source, max(length) as longest, sum(weight) as breaks from r group by symbol, i, kind, source)
-            select s.symbol, s.i, s.kind, s.source, s.price, coalesce(t.breaks, 0.0) as breaks, coalesce(t.longest, 0) as longest
-            from s left join t on t.symbol = s.symbol and t.i = s.i and t.kind = s.kind and t.source = s.source""",
-        points=points,
+    ranges = f"sequence({near}, 40)"
+    first = _sql(
+        f"""select l.symbol, l.i, l.kind, l.source, sum(b.weight) as w from {{lines}} l join {{bars}} b on b.symbol = l.symbol and shiftright(b.i, {near}) = shiftright(l.i, {near})
+            where b.i > l.i and if(l.kind = 'high', b.close > l.line, b.close < l.line) group by l.symbol, l.i, l.kind, l.source""",
+        lines=lines,
+        bars=bars,
+    )
+    far = _sql(
+        f"""with a as (select symbol, i, kind, source, line as value, cast(null as double) as weight, explode(transform(filter({ranges},
+                l -> shiftright(i, l) % 2 = 0 and shiftleft(shiftright(i, l) + 1, l) < n), l -> struct(l as level, shiftright(i, l) + 1 as place))) as x from {{lines}}),
+            b as (select symbol, close, weight, explode(transform(filter({ranges}, l -> shiftright(i, l) % 2 = 1), l -> struct(l as level, shiftright(i, l) as place))) as x from {{bars}}),
+            u as (select * from a union all select symbol, cast(null as bigint), 'high', null, close, weight, x from b union all select symbol, null, 'low', null, close, weight, x from b),
+            r as (select *, sum(weight) over (partition by symbol, kind, x.level, x.place order by if(kind = 'high', -value, value), if(weight is null, 0, 1) rows unbounded preceding) as upto from u)
+            select symbol, i, kind, source, sum(upto) as w from r where weight is null group by symbol, i, kind, source""",
+        lines=lines,
+        bars=bars,
+    )
+    return first.unionByName(far)
+
+
+def break_counts(points: DataFrame, bars: DataFrame, atr: DataFrame, beyond: float = 0.25, most_volume: float = 2.0, in_a_row: int = 2) -> DataFrame:
+    """How often later closes lie beyond a swing: ``breaks`` weighted by relative volume, and ``killed`` if ``in_a_row``
+    of them follow each other.
+
+    The newest swing of either kind is shielded: it has no breaks. No swing is compared with all later bars: for the sum
+    see :func:`_sums_beyond`; for the run, the best of what follows decides (the largest, over the bars behind the swing,
+    of the least of ``in_a_row`` closes).
+    """
+    rows = _sql(
+        f"""with v as (select *, least(volume / greatest(avg(volume) over (partition by symbol), 1e-12), {most_volume}) as weight from {{bars}}),
+            r as (select *, if(count(*) over w = {in_a_row}, min(close) over w, null) as lowest, if(count(*) over w = {in_a_row}, max(close) over w, null) as highest from v
+              window w as (partition by symbol order by i rows between current row and {in_a_row - 1} following))
+            select symbol, cast(i as bigint) as i, n, close, weight, max(lowest) over a as best_high, min(highest) over a as best_low from r
+              window a as (partition by symbol order by i rows between 1 following and unbounded following)""",
         bars=_numbered(bars),
+    )
+    lines = _sql(
+        f"""select p.symbol, cast(p.i as bigint) as i, p.n, p.kind, p.source, p.price, p.price + if(p.kind = 'high', {beyond}, -{beyond}) * a.atr as line, p.i = max(p.i) over (partition by p.symbol, p.kind) as newest
+            from {{points}} p join {{atr}} a on a.symbol = p.symbol""",
+        points=points,
         atr=atr,
     )
+    sums = _sums_beyond(lines.where("not newest").drop("newest", "price"), rows).groupBy("symbol", "i", "kind", "source").agg(F.sum("w").alias("w"))
+    return _sql(
+        """select s.symbol, s.i, s.kind, s.source, s.price, coalesce(w.w, 0.0D) as breaks, not s.newest and coalesce(if(s.kind = 'high', b.best_high > s.line, b.best_low < s.line), false) as killed
+           from {lines} s left join {bars} b on b.symbol = s.symbol and b.i = s.i left join {sums} w on w.symbol = s.symbol and w.i = s.i and w.kind = s.kind and w.source = s.source""",
+        lines=lines,
+        bars=rows,
+        sums=sums,
+    )
 
 
 def volume_profile(bars: DataFrame, bins: int = 50, half_life: str = "greatest(n div 3, 10)") -> DataFrame:
@@ -176,9 +219,10 @@ def anchored_clusters(points: DataFrame, near: str, price: str = "price", key: s
     """
     more = f", max({extra}) as {extra}" if extra else ""
     return _sql(
-        f"""with k as (select {key}, array_sort(collect_set({price})) as xs{more} from {{points}} group by {key}),
-            a as (select {key}, aggregate(xs, cast(array() as array<double>), (s, x) -> if(size(s) > 0 and exists(slice(s, -1, 1), a -> coalesce({near}, false)), s, concat(s, array(x)))) as anchors from k)
-            select p.*, array_max(filter(a.anchors, v -> v <= p.{price})) as anchor from {{points}} p join a on a.{key} = p.{key}""",
+        f"""with k as (select {key} as k, array_sort(collect_set({price})) as xs{more} from {{points}} group by {key}),
+            a as (select k, explode(aggregate(xs, cast(array() as array<double>), (s, x) -> if(size(s) > 0 and exists(slice(s, -1, 1), a -> coalesce({near}, false)), s, concat(s, array(x))))) as anchor from k),
+            u as (select struct(p.*) as p, {key} as k, {price} as x, cast(null as double) as anchor from {{points}} p union all select null, k, anchor, anchor from a)
+            select p.*, anchor from (select p, max(anchor) over (partition by k order by x range between unbounded preceding and current row) as anchor from u) where p is not null""",
         points=points,
     )
 
@@ -192,10 +236,13 @@ def touch_levels(bars: DataFrame, close_tol: float = 0.005, wick_tol: float = 0.
     grouped = gap_clusters(union.distinct(), f"(x - y) / nullif(y, 0) >= {wick_tol}")
     return _sql(
         f"""with l as (select symbol, cluster, percentile(price, 0.5) as level from {{grouped}} group by symbol, cluster),
+            -- bars meet levels by bins of the price's logarithm, as wide as the tolerance
+            lb as (select *, if(level > 0, cast(floor(ln(level) / {wick_tol}) as bigint), 0L) as bin from l),
+            bb as (select *, explode(if(low > 0, sequence(cast(floor(ln(low / {1 + wick_tol}) / {wick_tol}) as bigint) - 1, cast(floor(ln(high / {1 - wick_tol}) / {wick_tol}) as bigint) + 1), array(0L))) as bin from {{bars}}),
             t as (select l.symbol, l.level, b.i, b.n, exp(-ln(2) * (b.n - 1 - b.i) / greatest(b.n div 3, 5)) as recent,
                 case when abs(b.close - level) <= level * {close_tol} then 1.0 when abs(b.open - level) <= level * {close_tol} then 0.7
                   when b.low between level - level * {wick_tol} and level then 0.3 when b.high between level and level + level * {wick_tol} then 0.3 end as weight
-              from l join {{bars}} b on b.symbol = l.symbol and b.low <= level * {1 + wick_tol} and b.high >= level * {1 - wick_tol}),
+              from lb l join bb b on b.symbol = l.symbol and b.bin = l.bin and b.low <= level * {1 + wick_tol} and b.high >= level * {1 - wick_tol}),
             s as (select symbol, level, sum(weight * recent) as score, count(*) as touches, avg(recent) as recency, max_by(i, struct(weight * recent, -i)) as anchor_bar from t where weight is not null group by symbol, level),
             c as (select symbol, max_by(close, i) as price from {{bars}} group by symbol)
             select s.symbol, level as price, if(level < c.price, 'support', 'resistance') as side,
@@ -238,9 +285,13 @@ def flip_levels(bars: DataFrame, atr: DataFrame, tol: float = 0.5, side_touches:
     )
     return _sql(
         f"""with l as (select symbol, cluster, avg(price) as level, max(atr) * {tol} as tol from {{grouped}} group by symbol, cluster),
+            -- bars meet levels by bins of price, two tolerances wide
+            lb as (select *, cast(floor(level / (2 * tol)) as bigint) as bin from l where tol > 0),
+            bb as (select b.*, explode(array_distinct(flatten(transform(array(bottom, top), e -> sequence(cast(floor((e - t.tol) / (2 * t.tol)) as bigint), cast(floor((e + t.tol) / (2 * t.tol)) as bigint)))))) as bin
+              from {{bars}} b join (select symbol, max(tol) as tol from l where tol > 0 group by symbol) t on t.symbol = b.symbol),
             t as (select l.symbol, l.level, b.i, b.n, case when b.bottom < level - tol / 2 and b.top > level + tol / 2 then null
                 when abs(b.bottom - level) <= tol and b.close > level + tol / 2 then 'S' when abs(b.top - level) <= tol and b.close < level - tol / 2 then 'R' end as t
-              from l join {{bars}} b on b.symbol = l.symbol and (abs(b.bottom - level) <= tol or abs(b.top - level) <= tol)),
+              from lb l join bb b on b.symbol = l.symbol and b.bin = l.bin and (abs(b.bottom - level) <= tol or abs(b.top - level) <= tol)),
             u as (select *, row_number() over o as k, count(*) over p as m, sum(if(t = 'S', 1, 0)) over (partition by symbol, level order by i rows between unbounded preceding and 1 preceding) as s_before,
                 sum(if(t = 'R', 1, 0)) over (partition by symbol, level order by i rows between unbounded preceding and 1 preceding) as r_before, sum(if(t = 'S', 1, 0)) over p as s_all, sum(if(t = 'R', 1, 0)) over p as r_all, max(i) over p as last_i
               from t where t is not null window o as (partition by symbol, level order by i), p as (partition by symbol, level)),
@@ -286,10 +337,10 @@ def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.
     role and structure in one (``HH_BOS``, ``flipped_support``).
     """
     return _sql(
-        f"""with j as (select r.*, b.breaks, b.longest, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
+        f"""with j as (select r.*, b.breaks, b.killed, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
               on b.symbol = r.symbol and b.i = r.i and b.kind = r.kind and b.source = r.source),
             a as (select *, explode(filter(array(
-                struct(false as flipped, longest < 2 and breaks < 3 as here, case when structural = 'CHOCH' then 0.85D when role in ('HL', 'LH') then 0.65D else 0.45D end as base,
+                struct(false as flipped, not killed and breaks < 3 as here, case when structural = 'CHOCH' then 0.85D when role in ('HL', 'LH') then 0.65D else 0.45D end as base,
                   case when breaks >= 3 then 0.1D when breaks <= 0 then 1.0D else greatest(0.1D, 1 - 0.3D * breaks) end as left, 1 + cast(floor(breaks) as bigint) as touches),
                 struct(true as flipped, breaks >= 2 as here, 0.30D as base, 1.0D as left, 1L as touches)), x -> x.here)) as x from j)
             select symbol, i as bar, price, source, if((kind = 'low') <> x.flipped, 'support', 'resistance') as side, x.flipped as flipped, if(x.flipped, 'flip', if(structural = 'CHOCH', 'CHOCH', role)) as role,

@@ -32,7 +32,7 @@ def covered_periods(df: DataFrame, keys: Sequence[str], first: str = "first_day"
     days = F.datediff("__td_last", "__td_first") + 1
     length = F.make_interval(days=days)
     sessions = (
-        spans.groupBy(*keys, F.session_window(F.col("__td_first").cast("timestamp"), length).alias("__td_s"))
+        spans.groupBy(*keys, F.session_window(F.col("__td_first").cast("timestamp_ntz"), length).alias("__td_s"))
         .agg(F.count("*").alias("__td_n"))
         .select(*keys, F.to_date("__td_s.start").alias("__td_a"), F.to_date("__td_s.end").alias("__td_b"))
     )

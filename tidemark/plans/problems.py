@@ -96,7 +96,7 @@ from w window s as (partition by feed_id order by day rows between 6 preceding a
     "p4_found": f"""
 with t as (select run_id, upper(trim(symbol)) as w, {_DAY.format('entry_date')} as a, {_DAY.format('exit_date')} as x, coalesce(trim(exit_date), '') = '' as open from trades),
  n as (select t.run_id, coalesce(k.symbol, w) as symbol, a, case when open then cast(r.end_date as date) else x end as b
-   from t left join tokens k on w = k.symbol or w = k.pair left join backtest_runs r using (run_id)),
+   from t left join (select w, min(named) as symbol from (select symbol as named, upper(trim(unnest([symbol, pair, id]))) as w from tokens) group by w) k using (w) left join backtest_runs r using (run_id)),
  o as (select *, max(b) over (partition by run_id, symbol order by a, b rows between unbounded preceding and 1 preceding) as before from (select distinct * from n where b >= a)),
  i as (select *, sum(case when before is null or a > before + 1 then 1 else 0 end) over (partition by run_id, symbol order by a, b) as g from o),
  p as (select run_id, symbol, min(a) as a, max(b) as b from i group by run_id, symbol, g),

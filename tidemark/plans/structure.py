@@ -99,7 +99,7 @@ def _all_levels(spark, d):
     edge = edge.select("symbol", "price", "strength", F.lit("nison_body").alias("method"), "touches", "recency", none.alias("role"), F.lit(True).alias("body"))
     flip = L.flip_levels(rows, atr.withColumn("atr", F.col("atr") / 100))
     flip = flip.select("symbol", "price", "strength", F.lit("polarity_flip").alias("method"), "touches", "recency", F.lit("flip").alias("role"), F.lit(True).alias("body"))
-    swing = _structure_levels(stored(L.swings(rows, atr)), rows, atr)
+    swing = stored(_structure_levels(stored(L.swings(rows, atr)), rows, atr))
     swing = swing.select("symbol", "price", "strength", F.lit("market_structure").alias("method"), "touches", "recency", F.col("structural").alias("role"), (F.col("source") == "body").alias("body"))
     return stored(touch.unionByName(edge).unionByName(flip).unionByName(swing).unionByName(_volume_levels(rows)))
 
@@ -194,7 +194,7 @@ SQL = {
  h as (select s.symbol, s.i, s.kind, s.source, b.i as pos, least(b.volume / mean, 2) as w, case when kind = 'high' then b.close > price + 0.25 * atr else b.close < price - 0.25 * atr end as broken from s join atr using (symbol) join mean using (symbol) join b on b.symbol = s.symbol and b.i > s.i where not newest),
  g as (select *, sum(case when broken then 0 else 1 end) over (partition by symbol, i, kind, source order by pos) as run from h), r as (select symbol, i, kind, source, run, count(*) filter (broken) as length, coalesce(sum(w) filter (broken), 0) as w from g group by all),
  t as (select symbol, i, kind, source, max(length) as longest, sum(w) as breaks from r group by all)
- select symbol, i, kind, source, round(price, 6) as price, round(coalesce(breaks, 0), 6) as breaks, coalesce(longest, 0) as longest from s left join t using (symbol, i, kind, source)""",
+ select symbol, i, kind, source, round(price, 6) as price, round(coalesce(breaks, 0), 6) as breaks, coalesce(longest, 0) >= 2 as killed from s left join t using (symbol, i, kind, source)""",
     "volume_profile": f"with {N}, {_PROFILE.format(bins=50)} select symbol, bin, round(center, 6) as center, round(volume, 6) as volume from profile",
     "value_area": f"""with recursive {N}, {_PROFILE.format(bins=50)}, tot as (select symbol, sum(volume) as total, arg_min(bin, row(-volume, bin)) as poc from profile group by 1),
  va as (select symbol, poc as lo, poc as hi, volume as got, total from tot join profile using (symbol) where bin = poc
@@ -215,19 +215,28 @@ SQL = {
     "touch_levels": f"with {N}, {_TOUCH} select symbol, round(price, 4) as price, side, strength, touches, recency, anchor_bar from touch",
     "body_edge_levels": f"with recursive {N}, {ATR}, lastp as (select symbol, arg_max(close, ts) as last from bars group by 1), {_EDGE} select symbol, side, round(price, 4) as price, touches, recency, strength from edge",
     "flip_levels": f"with {N}, {ATR}, lastp as (select symbol, arg_max(close, ts) as last from bars group by 1), {_FLIP} select symbol, round(price, 4) as price, flip, side, touches, flip_bar, recency, strength from flips",
-    "ensemble_levels": f"""with recursive {N}, {ATR}, {_TOUCH}, {_EDGE}, {_FLIP}, u9 as (select symbol, price, strength, 'touch_count' as method, touches, recency, '' as role, 1.0::double as bonus, 0.25::double as weight from touch
-   union all select symbol, price, strength, 'nison_body', touches, recency, '', 1.5, 0.15 from edge union all select symbol, price, strength, 'polarity_flip', touches, recency, 'flip', 1.5, 0.10 from flips),
- m as (select symbol, min(price) as a from u9 group by 1 union all select m.symbol, (select min(price) from u9 where u9.symbol = m.symbol and (price - m.a) / m.a > 0.005) from m where m.a is not null),
- g as (select *, (select max(m.a) from m where m.symbol = u9.symbol and m.a <= price) as anchor from u9),
- j as (select symbol, anchor, round(sum(price * strength * bonus) / sum(strength * bonus), 8) as price, sum(price * strength * bonus) / sum(strength * bonus) as raw, string_agg(distinct method, '+' order by method) as method, sum(touches) as touches, max(recency) as recency,
-   case when bool_or(role = 'flip') then 'flip' else '' end as role, round(least(1, least(1, sum(strength * weight) + least(0.3::double, (count(distinct method) - 1) * 0.1::double)) + case when bool_or(method = 'polarity_flip') then 0.1::double else 0 end) + 1e-9, 4) as strength from g group by symbol, anchor),
- k as (select *, row_number() over (partition by symbol order by strength desc, raw) as place from j where strength >= 0.1)
- select symbol, round(price, 4) as price, case when raw < last then 'support' else 'resistance' end as side, strength, method, touches::bigint as touches, recency, role, place from k join lastp using (symbol) where place <= 20""",
     "fib_levels": f"with {H}, e as (select symbol, min(low) as lo, max(high) as hi from bars group by 1), r as (select unnest([0.236, 0.382, 0.5, 0.618, 0.786])::double as ratio) select symbol, ratio, round(lo + (hi - lo) * ratio, 6) as price from e, r",
 }
-SQL["structure_levels"] = f"""with ro as ({SQL['swing_roles']}), br as ({SQL['break_counts']}), nn as (select symbol, count(*) as n from (with {H} select * from bars) group by 1),
- j as (select ro.*, n, breaks, longest, exp(-(n - 1 - i) / 30.0::double) as recency, case when source = 'wick' then 0.85::double else 1 end as w from ro join br using (symbol, i, kind, source) join nn using (symbol)),
- u as (select *, false as flipped, case when structural = 'CHOCH' then 0.85::double when role in ('HL', 'LH') then 0.65 else 0.45 end as base, case when breaks <= 0 then 1::double else greatest(0.1::double, 1 - 0.3::double * breaks) end as kept, 1 + floor(breaks)::bigint as touches from j where longest < 2 and breaks < 3
-   union all select *, true, 0.3, 1, 1 from j where breaks >= 2)
- select symbol, i as bar, round(ro_price, 5) as price, source, case when (kind = 'low') <> flipped then 'support' else 'resistance' end as side, flipped, case when flipped then 'flip' when structural = 'CHOCH' then 'CHOCH' else role end as role,
-   round(round((base * w * 0.7::double + recency * 0.3::double) * kept + 1e-9, 4), 5) as strength, touches from u""".replace("ro_price", "price").replace("join br using (symbol, i, kind, source)", "join (select symbol, i, kind, source, breaks, longest from br) using (symbol, i, kind, source)")
+_SWUP = f"""ro as ({SQL['swing_roles']}), br as (select symbol, i, kind, source, breaks, killed from ({SQL['break_counts']})), nn as (select symbol, count(*) as n from (with {H} select * from bars) group by 1),
+ js as (select ro.*, n, breaks, killed, exp(-(n - 1 - i) / 30.0::double) as recency, case when source = 'wick' then 0.85::double else 1 end as w from ro join br using (symbol, i, kind, source) join nn using (symbol)),
+ us as (select *, false as flipped, case when structural = 'CHOCH' then 0.85::double when role in ('HL', 'LH') then 0.65 else 0.45 end as base, case when breaks <= 0 then 1::double else greatest(0.1::double, 1 - 0.3::double * breaks) end as kept, 1 + floor(breaks)::bigint as touches from js where not killed and breaks < 3
+   union all select *, true, 0.3, 1, 1 from js where breaks >= 2),
+ ms as (select *, round((base * w * 0.7::double + recency * 0.3::double) * kept + 1e-9, 4) as strength from us)"""
+SQL["structure_levels"] = f"""with {_SWUP} select symbol, i as bar, round(price, 5) as price, source, case when (kind = 'low') <> flipped then 'support' else 'resistance' end as side, flipped,
+ case when flipped then 'flip' when structural = 'CHOCH' then 'CHOCH' else role end as role, round(strength, 5) as strength, touches from ms"""
+
+
+_AREA = SQL["value_area"].replace("generate_series(0, 50 - 1)", "generate_series(0, 200 - 1)").replace("(hi - lo) / 50", "(hi - lo) / 200").replace("hi < 49", "hi < 199").replace("round(p.center, 6)", "p.center").replace("round(a.center, 6)", "a.center").replace("round(z.center, 6)", "z.center")
+_PV = f"""hv as ({SQL['high_volume_nodes'].replace("round(center, 6) as price, round(smooth / top, 6)", "center as price, smooth / top")}), va as ({_AREA}),
+ pv as (select symbol, price, weight as strength from hv union all select symbol, poc, 0.9 from va union all select symbol, low, 0.7 from va union all select symbol, high, 0.7 from va)"""
+SQL["ensemble_levels"] = f"""with recursive {_SWUP}, {_PV}, {N}, {ATR}, {_TOUCH}, {_EDGE}, {_FLIP}, u9 as (select symbol, price, strength, 'touch_count' as method, touches::bigint as touches, recency, '' as role, 1.0::double as bonus, 0.25::double as weight from touch
+   union all select symbol, price, strength, 'nison_body', touches, recency, '', 1.5, 0.15 from edge union all select symbol, price, strength, 'polarity_flip', touches, recency, 'flip', 1.5, 0.10 from flips
+   union all select symbol, price, strength, 'market_structure', touches, round(recency, 4), case when flipped then case when kind = 'high' then 'flipped_resistance' else 'flipped_support' end else role || '_' || structural end, case when source = 'body' then 1.5 else 1 end, 0.40 from ms
+   union all select symbol, price, strength, 'volume_profile', 0, 0, '', 1, 0.10 from pv),
+ m as (select symbol, min(price) as a from u9 group by 1 union all select m.symbol, (select min(price) from u9 where u9.symbol = m.symbol and (price - m.a) / m.a > 0.005) from m where m.a is not null),
+ g as (select *, (select max(m.a) from m where m.symbol = u9.symbol and m.a <= price) as anchor from u9),
+ j9 as (select symbol, anchor, sum(price * strength * bonus) / sum(strength * bonus) as raw, string_agg(distinct method, '+' order by method) as method, sum(touches) as touches, max(recency) as recency,
+   arg_min(role, row(case when contains(role, 'CHOCH') then 0 when contains(role, 'flip') then 1 when contains(role, 'BOS') then 2 else 9 end, price, method, role)) as role,
+   round(least(1, least(1, sum(strength * weight) + least(0.3::double, (count(distinct method) - 1) * 0.1::double)) + case when bool_or(method = 'polarity_flip') then 0.1::double else 0 end) + 1e-9, 4) as strength from g group by symbol, anchor),
+ k9 as (select *, row_number() over (partition by symbol order by strength desc, raw) as place from j9 where strength >= 0.1)
+ select symbol, round(raw, 4) as price, case when raw < last then 'support' else 'resistance' end as side, strength, method, touches::bigint as touches, recency, role, place from k9 join lastp using (symbol) where place <= 20"""
