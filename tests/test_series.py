@@ -120,3 +120,21 @@ def test_days(spark, text, day):
 def test_identifier_of_zeros(spark):
     df = spark.createDataFrame([("000",), ("{10E5AA19-1208-D7E5-DF18-6567531D673C}",), (" a-B",)], "s string")
     assert [r[0] for r in df.select(identifier_key(df.s)).collect()] == ["0", "10e5aa191208d7e5df186567531d673c", "a-b"]
+
+
+def test_recurrences_in_blocks_are_those_of_one_pass(spark):
+    import numpy as np
+
+    from tidemark.operators.indicators import RECURRENT, recurrences, recurrent_indicators
+
+    rng = np.random.default_rng(3)
+    n = 9000
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    h, low = c * (1 + rng.random(n) * 0.01), c * (1 - rng.random(n) * 0.01)
+    rows = [("s", dt.datetime(2020, 1, 1) + dt.timedelta(hours=k), float(h[k]), float(low[k]), float(c[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double")
+    got = recurrent_indicators(df, block=1000).toPandas().sort_values("ts")
+    want = recurrences(h, low, c)
+    assert len(got) == n
+    for name in RECURRENT:
+        assert np.allclose(got[name].to_numpy(float), want[name], rtol=1e-9, atol=1e-9, equal_nan=True), name

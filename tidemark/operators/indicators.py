@@ -176,16 +176,25 @@ RECURRENT = (
 )
 
 
-def recurrent_indicators(bars: DataFrame, columns: Sequence[str] = tuple(RECURRENT)) -> DataFrame:
-    """``symbol, ts, close`` and the chosen recurrences. A symbol's bars are one group: as many as its calendar has."""
+def recurrent_indicators(bars: DataFrame, columns: Sequence[str] = tuple(RECURRENT), block: int = 8192, before: int = 2048) -> DataFrame:
+    """``symbol, ts, close`` and the chosen recurrences.
+
+    A symbol's bars are worked on in blocks of ``block``, each after the ``before`` bars that precede it, so a hot symbol
+    is spread over all tasks. What lies further back weighs less than a double can show: a smoothing keeps at most 25/27
+    of it a bar, 1e-68 over 2048 bars, and ADX, which smooths twice, is as exact.
+    """
     columns = list(columns)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
         found = recurrences(*(pdf[c].to_numpy(float) for c in ("high", "low", "close")))
-        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "ts": pdf["ts"].to_numpy(), "close": pdf["close"].to_numpy()} | {c: found[c] for c in columns})
+        own = (pdf["i"] // block == key[1]).to_numpy()
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "ts": pdf["ts"].to_numpy(), "close": pdf["close"].to_numpy()} | {c: found[c] for c in columns})[own]
 
     kind = bars.schema["ts"].dataType.simpleString()
     schema = f"symbol string, ts {kind}, close double, " + ", ".join(f"{c} double" for c in columns)
-    rows = bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(run, schema)
+    numbered = bars.select("symbol", "ts", "high", "low", "close", (F.row_number().over(by()) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
+    following = F.least(F.expr(f"(i + {before}) div {block}"), F.expr(f"(n - 1) div {block}"))
+    blocks = numbered.withColumn("b", F.explode(F.sequence(F.expr(f"i div {block}"), following))).drop("n")
+    rows = blocks.groupBy("symbol", "b").applyInPandas(run, schema)
     return rows.select("symbol", "ts", "close", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
