@@ -34,3 +34,50 @@ def test_strength_of_a_break(spark):
     got = {r.symbol: (r.signal, r.strength) for r in K.structure(spark.createDataFrame(bars, BAR)).collect()}
     # two highs (110, 107) and lows (97, 96): CHOCH against the falling sequence
     assert got == {"far": ("CHOCH_UP", 3), "near": ("CHOCH_UP", 1)}
+
+
+def test_apart_pivots_against_a_plain_loop(spark):
+    import random
+
+    from tidemark.operators.weekly import apart_pivots
+
+    rng = random.Random(4)
+    data, expected = [], []
+    for symbol in "ab":
+        price, own = 100.0, []
+        for i in range(60):
+            price *= 1 + rng.uniform(-0.03, 0.03)
+            own.append((symbol, i, rng.choice(("high", "low")), round(price, 4), dt.datetime(2024, 1, 1) + dt.timedelta(weeks=i)))
+        data += own
+        kept, last = [], {}
+        for p in own:
+            before = last.get(p[2])
+            if before is None or abs(p[3] - before[3]) / before[3] >= 0.02:
+                kept.append(p)
+                last[p[2]] = p
+            elif p[3] > before[3] if p[2] == "high" else p[3] < before[3]:
+                kept = [x for x in kept if x is not before] + [p]
+                last[p[2]] = p
+        expected += kept
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "symbol string, i bigint, kind string, price double, confirmed_on timestamp")
+    got = [tuple(r) for r in apart_pivots(df, 0.02).select("symbol", "i", "kind", "price").collect()]
+    assert sorted(got) == sorted(p[:4] for p in expected) and len(got) < len(data)
+    assert apart_pivots(df.limit(0), 0.02).collect() == []
+
+
+def test_states_with_what_was_known(spark):
+    from tidemark.operators.weekly import states
+
+    start = dt.datetime(2023, 1, 2)
+    closes = [10, 12, 15, 13, 11, 13, 17, 15, 13, 15, 19, 17, 15, 17, 21, 19, 17, 18, 14, 9]
+    bars = [("a", start + dt.timedelta(weeks=k), float(c), c + 0.5, c - 0.5, float(c), 1.0) for k, c in enumerate(closes)] + [("b", start, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(bars, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "symbol string")
+    first = {r.symbol: r for r in states(asked, df).collect()}
+    assert first["a"].state == "BULLISH" and first["a"].signal == "CHOCH_DOWN" and first["a"].strength >= 2
+    assert (first["b"].state, first["b"].error) == ("INSUFFICIENT_DATA", "only 1 closed weeks, 16 needed") and first["c"].state == "UNKNOWN" and len(first) == 3
+    for prior, state, signal in (("BULLISH", "BEARISH", "CHOCH_DOWN"), ("RANGING", "BEARISH", "BOS_DOWN"), ("TRANSITIONING", "TRANSITIONING", "CHOCH_DOWN"), ("BEARISH", "BEARISH", "BOS_DOWN")):
+        known = spark.createDataFrame([("a", prior, 1)], "symbol string, prior string, weeks_without_break int")
+        got = {r.symbol: r for r in states(asked, df, known).collect()}["a"]
+        assert (got.state, got.signal) == (state, signal), prior

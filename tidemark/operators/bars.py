@@ -75,16 +75,45 @@ def first_good_source(bars: DataFrame, priority: Sequence[str], least: int = 30)
     return bars.join(chosen, ["symbol", "source"], "left_semi")
 
 
-def klines(payloads: DataFrame, body: str = "body", unit: str = "millis") -> DataFrame:
+def pool_klines(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Candles of payloads ``{"data": {"attributes": {"ohlcv_list": [[seconds, ...], ...]}}}``, several pages a symbol.
+
+    Newest rows may come first; of several rows with one symbol and time the first of the first page (``page``) is kept.
+    """
+    inner = F.get_json_object(body, "$.data.attributes.ohlcv_list")
+    return klines(payloads.withColumn(body, inner), body, "seconds")
+
+
+def snapshot_candles(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Candles of payloads that hold an array of objects ``t`` (milliseconds), ``o, h, l, c, v`` (text or numbers); of
+    several with one time the first is kept, unreadable ones go."""
+    rows = payloads.select("symbol", F.posexplode(F.from_json(body, "array<struct<t:bigint,o:string,h:string,l:string,c:string,v:string>>")).alias("at", "k"))
+    values = (F.col(f"k.{c}").try_cast("double").alias(name) for c, name in zip("ohlcv", OHLCV))
+    out = rows.select("symbol", "at", F.timestamp_millis(F.col("k.t")).alias("ts"), *values).where("ts is not null and close is not null")
+    first = Window.partitionBy("symbol", "ts").orderBy("at", *OHLCV)
+    return out.withColumn("__td_r", F.row_number().over(first)).where("__td_r = 1").drop("__td_r", "at")
+
+
+def overlap_scan(stored: DataFrame, source: DataFrame, days: int = 2) -> DataFrame:
+    """Rows of ``source`` from ``days`` before each symbol's last stored day on; all rows of symbols that are not stored."""
+    last = stored.groupBy("symbol").agg(F.date_sub(F.to_date(F.max("ts")), days).alias("__td_from"))
+    rows = source.join(last, "symbol", "left")
+    return rows.where(F.col("__td_from").isNull() | (F.to_date("ts") >= F.col("__td_from"))).select(*source.columns)
+
+
+def klines(payloads: DataFrame, body: str = "body", unit: str = "millis", keep: str = "first") -> DataFrame:
     """Candles of payloads that hold an array of arrays [epoch, open, high, low, close, volume, ...].
 
-    Numbers may be strings; the first of several rows with the same symbol and time is kept; unreadable rows go.
+    Numbers may be strings; of several rows with the same symbol and time the first is kept (``keep`` = 'last': the last;
+    payloads with a column ``page`` are taken in its order); unreadable rows go.
     """
-    rows = payloads.select("symbol", F.posexplode(F.from_json(body, "array<array<string>>")).alias("at", "k"))
+    page = F.col("page") if "page" in payloads.columns else F.lit(0)
+    rows = payloads.select("symbol", page.alias("page"), F.posexplode(F.from_json(body, "array<array<string>>")).alias("at", "k")).withColumn("at", F.struct("page", "at")).drop("page")
     when = F.get("k", F.lit(0)).try_cast("bigint")
     ts = F.timestamp_millis(when) if unit == "millis" else F.timestamp_seconds(when)
     out = rows.select("symbol", "at", ts.alias("ts"), *(F.get("k", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate(OHLCV))).where("ts is not null and close is not null")
-    first = Window.partitionBy("symbol", "ts").orderBy("at", *OHLCV)
+    order = F.col("at").asc() if keep == "first" else F.col("at").desc()
+    first = Window.partitionBy("symbol", "ts").orderBy(order, *OHLCV)
     return out.withColumn("__td_r", F.row_number().over(first)).where("__td_r = 1").drop("__td_r", "at")
 
 

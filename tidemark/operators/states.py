@@ -84,6 +84,31 @@ def classified(bars: DataFrame) -> DataFrame:
     return rows.withColumn("regime", label)
 
 
+def regime_confidence(bars: DataFrame, back: int = 3) -> DataFrame:
+    """:func:`classified` with ``adx_slope`` and ``di_slope`` (change over ``back`` bars), their directions and ``confidence``.
+
+    A bar without ADX is UNDEFINED. Confidence grows with the distance from the thresholds and, in trends, with a rising
+    ADX; it lies between 0 and 1.
+    """
+    rows = classified(bars).withColumn("regime", F.coalesce("regime", F.lit("UNDEFINED")))
+    spread = F.col("regime_di_plus") - F.col("regime_di_minus")
+    change = lambda x: F.coalesce(x - F.lag(x, back).over(I.by()), F.lit(0.0))
+    rows = rows.withColumn("adx_slope", change(F.col("regime_adx"))).withColumn("di_slope", change(F.coalesce(spread, F.lit(0.0))))
+    adx, gap = F.col("regime_adx"), F.abs(spread)
+    trending = F.col("regime").isin("BULL", "BEAR")
+    base = (
+        F.when(trending, (F.least(adx / TREND_ADX, F.lit(1.5)) / 1.5 + F.least(gap / DI_GAP, F.lit(1.5)) / 1.5) / 2)
+        .when(F.col("regime") == "NEUTRAL", F.least(adx / TREND_ADX, F.lit(1.0)) * 0.5)
+        .when(F.col("regime") == "TRANSITION", 0.4 + (adx - RANGE_ADX) / max(TREND_ADX - RANGE_ADX, 1) * 0.2)
+        .when(F.col("regime") == "RANGE", F.greatest(1.0 - adx / max(RANGE_ADX, 1), F.lit(0.1)))
+        .otherwise(F.lit(0.1))
+    )
+    lift = F.greatest(F.least(F.col("adx_slope") * 0.05, F.lit(0.15)), F.lit(-0.15))
+    moved = F.when(trending, base + lift).when(F.col("regime") == "RANGE", base - lift).otherwise(base)
+    direction = lambda c: F.when(F.col(c) > 0.5, "up").when(F.col(c) < -0.5, "down").otherwise("flat")
+    return rows.withColumn("confidence", F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0))).withColumn("adx_direction", direction("adx_slope")).withColumn("di_direction", direction("di_slope"))
+
+
 def risk_composite(bars: DataFrame) -> DataFrame:
     """The seven risk features of every bar, how many are positive, their mean and the vote.
 

@@ -224,10 +224,10 @@ SQL = {
     "pivots_confirmed": f"with {D}, {_WK} select symbol, i, kind, round(price, 5) as price, confirmed_on from pv",
     "weekly_structure": f"""with {D}, {_WK}, r as (select *, row_number() over (partition by symbol, kind order by i desc) as a from pv),
  s as (select symbol, max(price) filter (kind = 'high' and a = 1) as h1, max(price) filter (kind = 'high' and a = 2) as h2, max(price) filter (kind = 'low' and a = 1) as l1, max(price) filter (kind = 'low' and a = 2) as l2, count(*) filter (a <= 4) as pivots from r group by 1),
- c as (select symbol, arg_max(close, i) as last, count(*) as n from wb group by 1 having count(*) >= 16),
+ c as (select symbol, arg_max(t, i) as body_top, arg_max(b, i) as body_low, count(*) as n from wb group by 1 having count(*) >= 16),
  q as (select *, case when h2 is null or l2 is null then 'Incomplete' else case when h1 > h2 then 'HH' else 'LH' end || '+' || case when l1 > l2 then 'HL' else 'LL' end end as sequence from c left join s using (symbol)),
- t as (select *, case sequence when 'HH+HL' then 'UP' when 'LH+LL' then 'DOWN' else 'RANGING' end as trend from q)
- select symbol, n as bars, sequence, trend, round(h1, 4) as last_high, round(l1, 4) as last_low, coalesce(pivots, 0) as pivots, case when last > h1 * 1.003::double then case when trend = 'DOWN' then 'CHOCH_UP' else 'BOS_UP' end when last < l1 * 0.997::double then case when trend = 'UP' then 'CHOCH_DOWN' else 'BOS_DOWN' end else 'NONE' end as signal from t""",
+ t as (select *, case sequence when 'HH+HL' then 'BULLISH' when 'LH+LL' then 'BEARISH' when 'Incomplete' then 'RANGING' else 'TRANSITIONING' end as trend from q)
+ select symbol, n as bars, sequence, trend, round(h1, 4) as last_high, round(l1, 4) as last_low, coalesce(pivots, 0) as pivots, case when h1 is null or l1 is null then 'NONE' when body_top > h1 * 1.003::double then case when trend in ('BULLISH', 'RANGING') then 'BOS_UP' else 'CHOCH_UP' end when body_low < l1 * 0.997::double then case when trend in ('BEARISH', 'RANGING') then 'BOS_DOWN' else 'CHOCH_DOWN' end else 'NONE' end as signal from t""",
     "token_universe": f"""with t as (select id, case upper(trim(symbol)) when 'MIOTA' then 'IOTA' else upper(trim(symbol)) end as symbol, market_cap_rank, tier from tokens),
  g as (select *, row_number() over (partition by symbol order by market_cap_rank, id) as r from t where length(symbol) > 1 and not contains(symbol, '_') and market_cap_rank is not null and symbol not in {STABLE}),
  k as (select *, exists (select 1 from feeds f where upper(trim(f.symbol)) = g.symbol) as known from g where r = 1)
