@@ -312,16 +312,18 @@ def merged_levels(levels: DataFrame, prices: DataFrame, near: float = 0.005, mos
     """Levels of several methods joined where they lie within ``near`` of the lowest of their group.
 
     ``levels``: ``symbol, price, strength, method, touches, recency, role, body``; ``prices``: ``symbol, last``. The price is the
-    mean weighted by strength (bodies count 1.5 times); the strength adds up by method, with bonuses for agreement.
+    mean weighted by strength (bodies count 1.5 times); the strength adds up by method, with bonuses for agreement. ``snap``
+    is the lowest price of a support's members and the highest of a resistance's, ``wick`` whether the strongest is one.
     """
     return _sql(
         f"""with g as (select symbol, anchor, sum(price * strength * if(body, 1.5D, 1.0D)) / sum(strength * if(body, 1.5D, 1.0D)) as price,
                 sum(strength * case method when 'market_structure' then 0.40D when 'touch_count' then 0.25D when 'nison_body' then 0.15D else 0.10D end) as base,
                 count(distinct method) as methods, max(if(method = 'polarity_flip', 1, 0)) as flips, sum(touches) as touches, max(recency) as recency, concat_ws('+', array_sort(collect_set(method))) as method,
+                max_by(body, struct(strength, body, -price)) as body, min(price) as lowest, max(price) as highest,
                 min_by(role, struct(case when role like '%CHOCH%' then 0 when role like '%flip%' then 1 when role like '%BOS%' then 2 else 9 end, price, method, role)) as role
               from {{levels}} group by symbol, anchor),
             s as (select g.*, round(least(1.0D, least(1.0D, base + least(0.30D, (methods - 1) * 0.10D)) + flips * 0.10D) + 1e-9D, 4) as strength from g)
-            select s.symbol, round(price, 8) as price, if(price < p.last, 'support', 'resistance') as side, strength, method, touches, recency, role,
+            select s.symbol, round(price, 8) as price, if(price < p.last, 'support', 'resistance') as side, strength, method, touches, recency, role, if(price < p.last, lowest, highest) as snap, not body as wick,
               row_number() over (partition by s.symbol order by strength desc, price) as place
             from s join {{prices}} p on p.symbol = s.symbol where strength >= {least}""",
         levels=anchored_clusters(levels, f"(x - a) / nullif(a, 0) <= {near}"),

@@ -19,6 +19,15 @@ def shipped(spark: SparkSession, d: str) -> DataFrame:
     return B.shipment_candles(table(spark, d, "lineitem"))
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily candles of each feed as a series of its own (``symbol#feed``): of bars with one time the last loaded, without
+    bars whose prices contradict each other; a missing volume counts as 1."""
+    rows = table(spark, d, "daily_candles").where("feed_id is not null and ts is not null")
+    last = rows.groupBy("feed_id", "ts").agg(F.max_by(F.struct("symbol", *B.OHLCV), F.struct("loaded_at", "close", "volume")).alias("x"))
+    bars = last.select(F.concat_ws("#", "x.symbol", F.col("feed_id").cast("string")).alias("symbol"), "ts", *(F.col(f"x.{c}") for c in B.OHLCV[:4]), F.coalesce("x.volume", F.lit(1.0)).alias("volume"))
+    return bars.where("least(open, high, low, close) > 0 and high >= greatest(open, close) and low <= least(open, close)")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 

@@ -91,7 +91,12 @@ def _volume_levels(rows):
 
 
 def _all_levels(spark, d):
-    rows = stored(hourly(spark, d))  # bars, swings, profile and levels are used several times; one plan of all is too deep
+    return levels_of(hourly(spark, d))
+
+
+def levels_of(bars):
+    """Levels of all five methods of every symbol of ``bars``."""
+    rows = stored(bars)  # bars, swings, profile and levels are used several times; one plan of all is too deep
     atr = I.atr_last(rows)
     none = F.lit("")
     touch = L.touch_levels(rows).select("symbol", "price", "strength", F.lit("touch_count").alias("method"), "touches", "recency", none.alias("role"), F.lit(False).alias("body"))
@@ -109,7 +114,12 @@ def _prices(spark, d):
 
 
 def ensemble_levels(spark, d):
-    return rounded(L.merged_levels(_all_levels(spark, d), _prices(spark, d)), 4)
+    return rounded(L.merged_levels(_all_levels(spark, d), _prices(spark, d)).drop("snap", "wick"), 4)
+
+
+def ensemble_snaps(spark, d):
+    """The price each merged level was seen at, and what it hangs on."""
+    return rounded(L.merged_levels(_all_levels(spark, d), _prices(spark, d)).select("symbol", "place", "side", "snap", "wick"), 4)
 
 
 def fib_levels(spark, d):
@@ -122,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         local_extrema, local_extrema_loose, swings, swing_roles, break_counts, structure_levels, volume_profile, value_area, high_volume_nodes, gap_clusters, anchored_clusters,
-        touch_levels, body_edge_levels, flip_levels, ensemble_levels, fib_levels,
+        touch_levels, body_edge_levels, flip_levels, ensemble_levels, ensemble_snaps, fib_levels,
     )
 }
 
@@ -236,7 +246,9 @@ SQL["ensemble_levels"] = f"""with recursive {_SWUP}, {_PV}, {N}, {ATR}, {_TOUCH}
  m as (select symbol, min(price) as a from u9 group by 1 union all select m.symbol, (select min(price) from u9 where u9.symbol = m.symbol and (price - m.a) / m.a > 0.005) from m where m.a is not null),
  g as (select *, (select max(m.a) from m where m.symbol = u9.symbol and m.a <= price) as anchor from u9),
  j9 as (select symbol, anchor, sum(price * strength * bonus) / sum(strength * bonus) as raw, string_agg(distinct method, '+' order by method) as method, sum(touches) as touches, max(recency) as recency,
-   arg_min(role, row(case when contains(role, 'CHOCH') then 0 when contains(role, 'flip') then 1 when contains(role, 'BOS') then 2 else 9 end, price, method, role)) as role,
+   arg_max(bonus, row(strength, bonus > 1, -price)) as bb, min(price) as lowest, max(price) as highest, arg_min(role, row(case when contains(role, 'CHOCH') then 0 when contains(role, 'flip') then 1 when contains(role, 'BOS') then 2 else 9 end, price, method, role)) as role,
    round(least(1, least(1, sum(strength * weight) + least(0.3::double, (count(distinct method) - 1) * 0.1::double)) + case when bool_or(method = 'polarity_flip') then 0.1::double else 0 end) + 1e-9, 4) as strength from g group by symbol, anchor),
  k9 as (select *, row_number() over (partition by symbol order by strength desc, raw) as place from j9 where strength >= 0.1)
  select symbol, round(raw, 4) as price, case when raw < last then 'support' else 'resistance' end as side, strength, method, touches::bigint as touches, recency, role, place from k9 join lastp using (symbol) where place <= 20"""
+SQL["ensemble_snaps"] = SQL["ensemble_levels"].split(" select symbol, round(raw, 4) as price, case when raw < last")[0] + """ select symbol, place, case when raw < last then 'support' else 'resistance' end as side,
+  round(case when raw < last then lowest else highest end, 4) as snap, bb = 1 as wick from k9 join lastp using (symbol) where place <= 20"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import day_of
-from tidemark.operators import filters as E, indicators as I, levels as L, zones as Z
+from tidemark.operators import filters as E, indicators as I, levels as L, outlook as O, pipeline as P, zones as Z
+from tidemark.operators.lineage import stored
 from tidemark.plans.problems import _DAY
-from tidemark.plans.series import _DI, _DX, _RSI, _REGIME, _STEPS, _chain, H, hourly, rounded
-from tidemark.plans.structure import _TOUCH, ATR, N, _atr, _prices
+from tidemark.plans.series import _DI, _DX, _RSI, _REGIME, _STEPS, _chain, H, daily, hourly, rounded
+from tidemark.plans.structure import _TOUCH, ATR, N, _atr, _prices, levels_of
 
 MARKET = "view"
 
@@ -80,6 +81,29 @@ def analysis_document(spark, d):
     return Z.analysis_documents(near, _prices(spark, d), _atr(spark, d), L.value_area(L.volume_profile(hourly(spark, d))), tpsl_cascade(spark, d))
 
 
+def _pipeline(spark, d, second):
+    """Ensembles of three windows (weighted) and of the whole series of every daily feed, merged into zones."""
+    rows = stored(daily(spark, d))
+    atr, last = I.atr_last(rows), rows.groupBy("symbol").agg(F.max_by("close", "ts").alias("last"), F.count("*").alias("n"))
+    named = Z.windowed(rows).unionByName(rows.withColumn("symbol", F.concat("symbol", F.lit("|full"))))
+    series, window = F.split(F.col("symbol"), r"\|")[0], F.split(F.col("symbol"), r"\|")[1]
+    merged = L.merged_levels(levels_of(named), named.groupBy("symbol").agg(F.max_by("close", "ts").alias("last")), most=30, least=0.05)
+    weight = F.create_map(*(F.lit(x) for n, _, w in Z.WINDOWS for x in (n, w)))
+    found = stored(merged.withColumn("window", window).withColumn("symbol", series).withColumn("age", F.lit(0.0)))
+    ensemble = found.where("window <> 'full' and place <= 15 and strength >= 0.10").withColumn("strength", F.col("strength") * F.try_element_at(weight, F.col("window")))
+    outlook = O.market_structure(rows)
+    levels = P.candidates(ensemble, found.where("window = 'full'"), outlook, L.value_area(L.volume_profile(rows, 200)))
+    return P.zones(stored(levels), rows, atr, outlook, second)
+
+
+def zones_first(spark, d):
+    return _pipeline(spark, d, False)
+
+
+def zones_second(spark, d):
+    return _pipeline(spark, d, True)
+
+
 def rr_ranking(spark, d):
     """Targets ranked by ratio, those without last; the place is given to every row."""
     from pyspark.sql import Window
@@ -110,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scored_zones, body_anchor_nearest, zones_merge, sandwiched_minors, cross_side_dedup, zone_rank_topk, spaced_zones, backfilled_zones, multi_window_levels, round_levels,
-        tpsl_cascade, analysis_document, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
+        tpsl_cascade, analysis_document, zones_first, zones_second, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
     )
 }
 
