@@ -48,9 +48,10 @@ def one_at_a_time(trades: DataFrame) -> DataFrame:
     return trades.groupBy("symbol").applyInPandas(run, trades.schema)
 
 
-def pooled(signals: DataFrame, bars: DataFrame, hold: int = 10, slots: int = 1) -> DataFrame:
+def pooled(signals: DataFrame, bars: DataFrame, hold: int = 10, slots: int = 1, cool_down_hours: float = 0.0) -> DataFrame:
     """One book for all symbols: signals of a bar are ranked by ``rank`` and entered at the next bar's open while
-    slots are free; exits as in :func:`first_hits`, from the entry bar on; no entry in the bar after which a symbol left.
+    slots are free; exits as in :func:`first_hits`, from the entry bar on; no entry in the bar after which a symbol left,
+    nor within ``cool_down_hours`` of its exit.
 
     ``signals``: ``strategy, symbol, ts, rank, take_profit, stop_loss``. Bars are aligned by time. Trades are worked out
     for all signals at once; the scan over a strategy sees only those narrow rows.
@@ -74,12 +75,14 @@ def pooled(signals: DataFrame, bars: DataFrame, hold: int = 10, slots: int = 1)
         pdf = pdf.sort_values(["signal_ts", "rank", "symbol"], ascending=[True, False, True], kind="stable")
         held: dict[str, tuple] = {}
         left: dict[str, object] = {}
+        pause = pd.Timedelta(hours=cool_down_hours)
         keep = []
         for row in pdf.itertuples():
             now = row.signal_ts
             for s in [s for s, leave in held.items() if leave <= now]:
                 left[s] = held.pop(s)
-            take = row.symbol not in held and left.get(row.symbol) != now and len(held) < slots
+            gone = left.get(row.symbol)
+            take = row.symbol not in held and (gone is None or gone != now and now - gone >= pause) and len(held) < slots
             keep.append(take)
             if take:
                 held[row.symbol] = row.exit_ts

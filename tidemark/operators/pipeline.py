@@ -12,6 +12,7 @@ Defined cases: a symbol without levels or without a price has no zones; levels f
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
@@ -240,3 +241,70 @@ def zones(levels: DataFrame, bars: DataFrame, atr: DataFrame, outlook: DataFrame
         return pd.DataFrame(out, columns=[c.split()[0] for c in ZONE.split(", ")])
 
     return rows.groupBy("symbol").applyInPandas(run, ZONE)
+
+
+def scenarios(zones: list[Zone], last: float, atr: float) -> dict[str, dict[str, float]]:
+    """Prices to watch: what holds and fails, where targets and stops lie. Keys without ground are left out.
+
+    A support nearer than 2 % gives way to the next one as the one to hold, and so does a target.
+    """
+    close = 0.02 * last
+    supports = sorted((z for z in zones if z.side == "support"), key=lambda z: -z.mid)
+    above = sorted((z for z in zones if z.side == "resistance"), key=lambda z: z.mid)
+    at = int(len(supports) > 1 and abs(last - supports[0].key) < close) if supports else 0
+    hold = supports[at] if supports else None
+    beyond = supports[1 : 3] if at == 0 else supports[2 : 3]
+    second, third = (beyond + [None, None])[:2] if at == 0 else ((beyond + [None])[0], None)
+    majors = [z for z in above if z.tier == "Major"]
+    if not majors:
+        targets = above[:2]
+    elif above[0].tier == "Minor" and abs(majors[0].mid - last) / last > 0.15:
+        targets = [above[0], majors[0]]
+    else:
+        targets = majors[:2]
+    if targets and abs(targets[0].key - last) < close:
+        targets = targets[1:2]
+    low = lambda z: z.mid - HALF_WIDTH * atr
+    key = lambda z: z.key if z else None
+    end = key(second) if second else low(hold) if hold else None
+    floor = low(second) if second else low(hold) if hold else None
+    reopened = key(third) if third else low(second) if second else None
+    far = next((z for z in above if z.key > 1.02 * last), targets[0] if targets else None)
+    found = {
+        "bullish": {"hold_above": key(hold), "next_target": key(targets[0]) if targets else None, "extended_target": key(targets[1]) if len(targets) > 1 else None, "invalidation": end},
+        "bearish": {"fails_at": key(hold), "retests": key(second), "reopens": reopened},
+        "triggers": {"buy_the_dip": key(hold), "stop_loss": floor, "take_profit": key(far)},
+    }
+    return {k: {name: tier_round(v, last) for name, v in part.items() if v is not None} for k, part in found.items()}
+
+
+def documents(zones_: DataFrame, outlook: DataFrame, atr: DataFrame, area: DataFrame) -> DataFrame:
+    """``symbol, document``: one JSON object a symbol with its structure, zones of either side from the nearest, scenarios,
+    triggers and value area. ``zones_`` as of :func:`zones`, at most a handful of rows a symbol."""
+    facts = outlook.join(atr, "symbol").join(area.select("symbol", "poc", F.col("low").alias("val"), F.col("high").alias("vah")), "symbol", "left").where("last > 0")
+    rows = facts.join(zones_, "symbol", "left")
+    means = [c for c in outlook.columns if c.startswith("sma_")]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        number = lambda v: None if pd.isna(v) else float(v)
+        last, atr_ = float(head["last"]), float(head["atr"])
+        own = [Zone(r.side, r.price, r.key, r.tier, int(r.methods), int(r.touches), bool(r.confirmed), r.role or "", r.note or "", 0.0) for r in pdf.dropna(subset=["side"]).itertuples()]
+        listed = {
+            side: [
+                {"zone": [tier_round(z.mid - HALF_WIDTH * atr_, last), tier_round(z.mid + HALF_WIDTH * atr_, last)], "key_level": tier_round(z.key, last), "tier": z.tier,
+                 "distance_pct": round(abs(z.mid - last) / last * 100, 1), "confluence": z.methods, "touches": z.touches, "volume_confirmed": z.confirmed, "notes": z.note or None}
+                for z in sorted((z for z in own if z.side == side), key=lambda z: abs(z.mid - last))
+            ]
+            for side in SIDES
+        }
+        plan = scenarios(own, last, atr_)
+        document = {
+            "symbol": key[0], "price": tier_round(last, last), "data_points": int(head["bars"]),
+            "market_structure": {"trend": head["trend"], "structure": head["structure"], "bias": float(head["bias"]), "atr14": round(atr_, 8)} | {c.replace("_", ""): number(head[c]) for c in means},
+            **listed, "scenarios": {k: plan[k] for k in ("bullish", "bearish")}, "triggers": plan["triggers"],
+            "volume_profile": {"poc": number(head["poc"]), "value_area_low": number(head["val"]), "value_area_high": number(head["vah"])},
+        }
+        return pd.DataFrame({"symbol": [key[0]], "document": [json.dumps(document)]})
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, document string")

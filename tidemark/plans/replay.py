@@ -40,6 +40,16 @@ def backtest_pooled(spark, d):
     return rounded(R.pooled(signals, hourly(spark, d)))
 
 
+def backtest_hourly(spark, d):
+    """Hourly entries above the last daily close and an RSI of 60; two slots, ten days at most, a day's pause after an exit."""
+    rows = hourly(spark, d)
+    known = I.rsi_simple(rows).where("rsi > 60").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "close", "rsi")
+    picked = known.join(asof_daily_to_hourly(spark, d), ["symbol", "ts"]).where("close > day_close")
+    c = F.col("close")
+    signals = picked.select(F.lit("hourly").alias("strategy"), "symbol", "ts", F.col("rsi").alias("rank"), (c * 1.02).alias("take_profit"), (c * 0.98).alias("stop_loss"))
+    return rounded(R.pooled(signals, rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), hold=240, slots=2, cool_down_hours=24))
+
+
 def _trades(spark, d):
     return table(spark, d, "trades").distinct()
 
@@ -166,7 +176,7 @@ def content_drift(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        first_hit_exit, backtest_single, backtest_pooled, trade_stats, monthly_pivot, equity_drawdown, fee_grid, btc_floor_join, asof_daily_to_hourly, ref_match_f1, missed_refs,
+        first_hit_exit, backtest_single, backtest_pooled, backtest_hourly, trade_stats, monthly_pivot, equity_drawdown, fee_grid, btc_floor_join, asof_daily_to_hourly, ref_match_f1, missed_refs,
         price_extract, context_levels, level_consensus, pivots_confirmed, weekly_structure, weekly_signals, gated_regimes, token_universe, tier_check, event_props, content_drift,
     )
 }

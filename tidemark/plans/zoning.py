@@ -83,7 +83,10 @@ def analysis_document(spark, d):
 
 def _pipeline(spark, d, second):
     """Ensembles of three windows (weighted) and of the whole series of every daily feed, merged into zones."""
-    rows = stored(daily(spark, d))
+    return _from_bars(stored(daily(spark, d)), second)[0]
+
+
+def _from_bars(rows, second):
     atr, last = I.atr_last(rows), rows.groupBy("symbol").agg(F.max_by("close", "ts").alias("last"), F.count("*").alias("n"))
     named = Z.windowed(rows).unionByName(rows.withColumn("symbol", F.concat("symbol", F.lit("|full"))))
     series, window = F.split(F.col("symbol"), r"\|")[0], F.split(F.col("symbol"), r"\|")[1]
@@ -92,8 +95,9 @@ def _pipeline(spark, d, second):
     found = stored(merged.withColumn("window", window).withColumn("symbol", series).withColumn("age", F.lit(0.0)))
     ensemble = found.where("window <> 'full' and place <= 15 and strength >= 0.10").withColumn("strength", F.col("strength") * F.try_element_at(weight, F.col("window")))
     outlook = O.market_structure(rows)
-    levels = P.candidates(ensemble, found.where("window = 'full'"), outlook, L.value_area(L.volume_profile(rows, 200)))
-    return P.zones(stored(levels), rows, atr, outlook, second)
+    area = stored(L.value_area(L.volume_profile(rows, 200)))
+    levels = P.candidates(ensemble, found.where("window = 'full'"), outlook, area)
+    return P.zones(stored(levels), rows, atr, outlook, second), outlook, atr, area
 
 
 def zones_first(spark, d):
@@ -104,6 +108,12 @@ def zones_second(spark, d):
     return _pipeline(spark, d, True)
 
 
+def token_documents(spark, d):
+    """The whole analysis of every daily feed as one document."""
+    found, outlook, atr, area = _from_bars(stored(daily(spark, d)), False)
+    return P.documents(found, outlook, atr, area)
+
+
 def rr_ranking(spark, d):
     """Targets ranked by ratio, those without last; the place is given to every row."""
     from pyspark.sql import Window
@@ -134,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scored_zones, body_anchor_nearest, zones_merge, sandwiched_minors, cross_side_dedup, zone_rank_topk, spaced_zones, backfilled_zones, multi_window_levels, round_levels,
-        tpsl_cascade, analysis_document, zones_first, zones_second, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
+        tpsl_cascade, analysis_document, zones_first, zones_second, token_documents, rr_ranking, filter_chain, filter_combos_256, walk_forward_folds,
     )
 }
 
