@@ -44,3 +44,19 @@ def day_of(col: Column) -> Column:
 def source_key(col: Column) -> Column:
     """Source name in lower case with underscores; null for a null or blank one."""
     return F.regexp_replace(F.lower(trimmed(col)), r"[\s\-]+", "_")
+
+
+def plain_markdown(col: Column) -> Column:
+    """A line without the marks of bold, italic and code text."""
+    for pattern in (r"\*\*([^\n]+?)\*\*", r"\*([^\n]+?)\*", r"`([^\n]+?)`"):
+        col = F.regexp_replace(col, pattern, "$1")
+    return col
+
+
+def line_kind(col: Column) -> Column:
+    """What a line of marked-up text is: fence, title, section, part, point, rule, bullet, item, row, blank or text."""
+    bare = F.regexp_replace(col, r"^[ \t\r]+|[ \t\r]+$", "")
+    return (
+        F.when(bare.startswith("```"), "fence").when(col.startswith("# "), "title").when(col.startswith("## "), "section").when(col.startswith("### "), "part").when(col.startswith("#### "), "point")
+        .when(bare == "---", "rule").when(bare.startswith("- ") | bare.startswith("* "), "bullet").when(col.rlike(r"^[ \t]*[0-9]+\.[ \t]+[^ \t\r]"), "item").when(col.startswith("|"), "row").when(bare == "", "blank").otherwise("text")
+    )

@@ -315,6 +315,7 @@ def merged_levels(levels: DataFrame, prices: DataFrame, near: float = 0.005, mos
     mean weighted by strength (bodies count 1.5 times); the strength adds up by method, with bonuses for agreement. ``snap``
     is the lowest price of a support's members and the highest of a resistance's, ``wick`` whether the strongest is one.
     """
+    # Fixed values in the text: weights of the methods, bonuses, and the order of roles.
     return _sql(
         f"""with g as (select symbol, anchor, sum(price * strength * if(body, 1.5D, 1.0D)) / sum(strength * if(body, 1.5D, 1.0D)) as price,
                 sum(strength * case method when 'market_structure' then 0.40D when 'touch_count' then 0.25D when 'nison_body' then 0.15D else 0.10D end) as base,
@@ -338,6 +339,7 @@ def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.
     acts from the other side. Strength: by structural role, recent ones more, less for each break. ``structural`` has
     role and structure in one (``HH_BOS``, ``flipped_support``).
     """
+    # Fixed values in the text: base strengths by role and how they fall with breaks.
     return _sql(
         f"""with j as (select r.*, b.breaks, b.killed, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
               on b.symbol = r.symbol and b.i = r.i and b.kind = r.kind and b.source = r.source),

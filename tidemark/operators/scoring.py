@@ -23,15 +23,19 @@ def prices_in(text: Column, low: Column | None = None, high: Column | None = Non
     return F.coalesce(F.array_sort(F.array_distinct(keep)), F.expr("cast(array() as array<double>)"))
 
 
-def context_levels(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, side, price``: prices under the last word 'support' or 'resistance' of the lines before; others have no side."""
+def context_levels(texts: DataFrame, key: str, text: str, last: Column | None = None) -> DataFrame:
+    """``key, side, price``: prices under the last word 'support' or 'resistance' of the lines before.
+
+    Other prices are unknown, or with ``last`` (a price that goes with ``key``) taken by their place below it or not."""
     lines = texts.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text), r"[|\n]")).alias("line", "s"))
     low = F.lower("s")
     word = F.when(low.contains("support"), "support").when(low.contains("resistance"), "resistance")
     seen = F.last(word, ignorenulls=True).over(Window.partitionBy("k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     sided = lines.select("k", "s", F.coalesce(seen, F.lit("unknown")).alias("side"))  # before lines without prices go
-    rows = sided.select("k", "side", F.explode(prices_in(F.col("s"))).alias("price")).distinct()
-    return rows.withColumnRenamed("k", key)
+    rows = sided.select("k", "side", F.explode(prices_in(F.col("s"))).alias("price"))
+    if last is not None:
+        rows = rows.withColumn("side", F.when(F.col("side") != "unknown", F.col("side")).when(F.col("price") < last, "support").otherwise("resistance"))
+    return rows.distinct().withColumnRenamed("k", key)
 
 
 def manual_levels(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -42,7 +42,7 @@ def hysteresis(rows: DataFrame, value: str, on_above: float, off_below: float, n
     return rows.withColumn(name, F.coalesce(F.last(switch, ignorenulls=True).over(upto()), F.lit(False)))
 
 
-# Periods, slopes and confirmation bars of the long, middle and short view.
+# Periods, slopes and confirmation bars of the long, middle and short view.
 TIMEFRAMES = {"long_term": (100, 20, 1), "mid_term": (50, 10, 1), "short_term": (20, 5, 1)}
 
 

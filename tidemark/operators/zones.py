@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.levels import _numbered, _sql, gap_clusters
 
+# Windows with days and weight.
 WINDOWS = (("short", 20, 1.5), ("medium", 60, 1.0), ("long", 180, 0.7))
-# name, reach of target and stop in ATR before a nearer level is taken, least distance of either
+# Name, reach of target and stop in ATR before a nearer level is taken, least distance of either
 FLAVOURS = (("balanced", 1.0, 1.0, 0.5, 0.5), ("conservative", 0.5, 1.5, 0.3, 0.75), ("aggressive", 2.0, 0.5, 0.75, 0.3))
 
 
@@ -34,6 +35,7 @@ def tiered_round(x: Column, size: Column) -> Column:
 def display_grid(x: Column) -> Column:
     """Nearest multiple of a step that grows with the price (half to even)."""
     out = None
+    # Least price and step.
     for least, step in ((50000, 100.0), (10000, 50.0), (1000, 5.0), (100, 1.0), (10, 0.5), (1, 0.1), (0.01, 0.001)):
         value = F.rint(x / step) * step
         out = F.when(x >= least, value) if out is None else out.when(x >= least, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions.prices import dollar_price, plain_price
-from tidemark.functions.text import day_of, source_key, trimmed
+from tidemark.functions.text import day_of, line_kind, plain_markdown, source_key
 from tidemark.operators import bars as B, indicators as I, levels as L, outlook as O, scoring as C, states as S, weekly as K
 from tidemark.plans.problems import _DAY
 from tidemark.plans.replay import _CTX, _SOURCE, SQL as _REPLAY, _prices as _found
@@ -91,6 +91,19 @@ def sided_prices(spark, d):
     return rows.select("doc_id", show(F.col("a")).alias("below"), show(F.col("b")).alias("above"))
 
 
+def markdown_lines(spark, d):
+    """Lines of each text by kind; between fences they are code."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "s"))
+    fences = F.sum((line_kind(F.col("s")) == "fence").cast("int")).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    kind = F.when((F.coalesce(fences, F.lit(0)) % 2 == 1) & (line_kind(F.col("s")) != "fence"), "code").otherwise(line_kind(F.col("s")))
+    return lines.withColumn("kind", kind).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"), F.sum(F.length(plain_markdown(F.col("s")))).alias("characters"))
+
+
+def sided_levels(spark, d):
+    """Prices of texts by the word before them, others by their place below a thousand or not."""
+    return C.context_levels(table(spark, d, "documents"), "doc_id", "text", F.lit(1000.0))
+
+
 def price_formats(spark, d):
     rows = table(spark, d, "lineitem").select(F.try_divide("l_extendedprice", "l_quantity").alias("price")).distinct()
     sizes = rows.withColumn("price", F.explode(F.array(*(F.col("price") * k for k in (1.371723456789e-7, 1.371723456789e-5, 1.371723456789e-3, 0.01371723456789, 1.003723456789))))).distinct()
@@ -157,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         market_outlook, detector_presets, zone_notes, outlook_summary, regime_confidence, state_transitions, weekly_states, pivots_apart, detector_levels, method_overlaps, tagged_levels,
-        sided_prices, price_formats, pool_payloads, snapshot_payloads, paged_klines, overlap_scan, min_risk_reward, last_trades, rsi_rounded,
+        sided_prices, sided_levels, markdown_lines, price_formats, pool_payloads, snapshot_payloads, paged_klines, overlap_scan, min_risk_reward, last_trades, rsi_rounded,
     )
 }
 
@@ -213,6 +226,12 @@ SQL = {
     "sided_prices": f"""with p as (select doc_id, unnest({_found('text')}) as p from documents where text is not null), q as (select distinct doc_id, try_cast(replace(p, ',', '') as double) as x from p),
  s as (select doc_id, string_agg(round(x, 4)::decimal(20,4)::varchar, ' ' order by x desc) filter (x < 1000 and x >= 1e-3) as a, string_agg(round(x, 4)::decimal(20,4)::varchar, ' ' order by x) filter (x >= 1000 and x < 1e12) as b from q where x > 0 group by 1)
  select doc_id, coalesce(a, '') as below, coalesce(b, '') as above from documents left join s using (doc_id) where text is not null""",
+    "sided_levels": f"with {_CTX} select distinct doc_id, case when side <> 'unknown' then side when price < 1000 then 'support' else 'resistance' end as side, price from ctx",
+    "markdown_lines": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(generate_series(1, len(string_split(text, chr(10))))) as k from documents where text is not null),
+ t as (select *, regexp_replace(s, '^[ \t\r]+|[ \t\r]+$', '', 'g') as bare from l), x as (select doc_id, k, s, case when starts_with(bare, '```') then 'fence' when starts_with(s, '# ') then 'title' when starts_with(s, '## ') then 'section' when starts_with(s, '### ') then 'part' when starts_with(s, '#### ') then 'point'
+   when bare = '---' then 'rule' when starts_with(bare, '- ') or starts_with(bare, '* ') then 'bullet' when regexp_matches(s, '^[ \t]*[0-9]+\.[ \t]+[^ \t\r]') then 'item' when starts_with(s, '|') then 'row' when bare = '' then 'blank' else 'text' end as kind from t),
+ f as (select *, coalesce(sum(case when kind = 'fence' then 1 else 0 end) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) % 2 as inside from x)
+ select doc_id, case when inside = 1 and kind <> 'fence' then 'code' else kind end as kind, count(*) as lines, sum(length(regexp_replace(regexp_replace(regexp_replace(s, '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*([^\n]+?)\*', '\1', 'g'), '`([^\n]+?)`', '\1', 'g')))::bigint as characters from f group by all""",
     "price_formats": """with r as (select distinct l_extendedprice / l_quantity as p from lineitem), x as (select distinct p * unnest([1.371723456789e-7, 1.371723456789e-5, 1.371723456789e-3, 0.01371723456789, 1.003723456789]::double[]) as price from r)
  select price, case when price >= 1000 then format('{:,.2f}', price) when price >= 1 then format('{:.4f}', price) else format('{:.6f}', price) end as plain,
    case when price >= 1000 then format('${:,.0f}', price) when price >= 10 then format('${:,.1f}', price) when price >= 1 then format('${:,.2f}', price) when price >= 0.01 then format('${:,.4f}', price) when price >= 0.0001 then format('${:,.6f}', price) else format('${:,.8f}', price) end as dollars from x""",
