@@ -69,7 +69,7 @@ def pivots_apart(spark, d):
 
 def detector_levels(spark, d):
     """The levels of every detector side by side."""
-    return rounded(_all_levels(spark, d).select("symbol", "method", "price", "strength", "touches"), 4)
+    return rounded(_all_levels(spark, d).select("symbol", "method", "price", "strength", "touches"), 8)
 
 
 def method_overlaps(spark, d):
@@ -216,7 +216,7 @@ SQL = {
     "weekly_states": f"""with {D}, asked as (select symbol from tokens union select symbol from bars), wb9 as (select symbol, count(*) as n from (select symbol, date_trunc('week', ts) as w from bars group by 1, 2 having date_trunc('week', ts) + interval 7 day <= timestamp '{AS_OF}') group by 1), ws as ({_WS})
  select symbol, case when wb9.n is null then 'UNKNOWN' when ws.trend is null then 'INSUFFICIENT_DATA' else ws.trend end as state, coalesce(sequence, '') as sequence, coalesce(signal, 'NONE') as signal, coalesce(wb9.n, 0) as bars,
    case when wb9.n is null then 'no bars' when ws.trend is null then 'only ' || wb9.n || ' closed weeks, 16 needed' end as error from asked left join wb9 using (symbol) left join ws using (symbol) where symbol is not null""",
-    "detector_levels": f"{_U9} select symbol, method, round(price, 4) as price, round(strength, 4) as strength, touches from u9",
+    "detector_levels": f"{_U9} select symbol, method, round(price, 8) as price, round(strength, 8) as strength, touches from u9",
     "method_overlaps": f"""{_U9}, mo as (select symbol, min(price) as a from u9 group by 1 union all select mo.symbol, (select min(price) from u9 where u9.symbol = mo.symbol and (price - mo.a) / mo.a >= 0.02) from mo where mo.a is not null),
  og as (select *, (select max(mo.a) from mo where mo.symbol = u9.symbol and mo.a <= price) as anchor from u9)
  select symbol, round(avg(price), 8) as price, count(*) as members, string_agg(distinct method, '+' order by method) as methods, round(max(strength), 8) as strongest from og group by symbol, anchor having count(*) >= 2""",
