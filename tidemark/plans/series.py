@@ -8,7 +8,6 @@ from tidemark.operators import bars as B, indicators as I, states as S
 from tidemark.sources.tables import table
 
 AS_OF = "1998-06-17"  # shipments go on after this day, so that bars in progress exist
-PAIR = ("view", "click")  # two event types taken as market and token
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CSV = "timestamp string, open string, high string, low string, close string, volume string"
 
 
 def read_candle_csv(spark: SparkSession, path: str, suffix: str = "daily", default_volume: float = 1.0) -> DataFrame:
