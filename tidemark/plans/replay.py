@@ -250,3 +250,11 @@ SQL = {
     "content_drift": """with h as (select doc_id % 2 as half, sha256(text) as h from documents where text is not null), g as (select h, bool_or(half = 0) as a, bool_or(half = 1) as b from h group by 1)
  select case when not a then 'second only' when not b then 'first only' else 'same' end as state, count(*) as n from g group by 1""",
 }
+SQL["weekly_signals"] = f"""with {D}, {_WK}, r as (select *, row_number() over (partition by symbol, kind order by i desc) as a from pv),
+ s as (select symbol, max(price) filter (kind = 'high' and a = 1) as h1, max(price) filter (kind = 'low' and a = 1) as l1, max(confirmed_on) filter (a = 1) as last_on, count(*) filter (a = 2) as seconds from r group by 1),
+ wr as (select symbol, date_trunc('week', ts)::timestamp as ts, max(high) as high, min(low) as low from bars group by 1, date_trunc('week', ts)),
+ tw as (select symbol, i, n, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr from wb join wr using (symbol, ts) window w as (partition by symbol order by i)),
+ a10 as (select symbol, avg(tr) as atr from tw where n > 10 and i >= n - 10 group by 1), g as (select symbol, signal, split_part(signal, '_', 2) as side from ({SQL["weekly_structure"]})),
+ e as (select symbol, max(ts) as as_of, arg_max(t, i) as top, arg_max(b, i) as low from wb group by 1)
+ select symbol, as_of, signal, case when signal = 'NONE' then 0 else (seconds = 2)::int + (case side when 'UP' then (top - h1) / h1 else (l1 - low) / l1 end >= 0.01)::int + coalesce(atr > 0 and top - low >= atr, false)::int end::bigint as strength,
+   case when h1 is null or l1 is null then 0 else greatest(0, datediff('day', last_on, as_of) // 7) end::bigint as weeks_in_state from g join e using (symbol) left join s using (symbol) left join a10 using (symbol)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators import bars as B, indicators as I, states as S
 from tidemark.sources.tables import table
@@ -291,3 +291,13 @@ SQL = {
  t as (select symbol, ts, case when lag(close) over w is not null then greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end as tr from k {_W})
  select symbol, ts, round(case when count(tr) over x = 10 then avg(tr) over x end, 5) as atr from t window x as (partition by symbol order by ts rows between 9 preceding and current row)""",
 }
+_FINE = {k: SQL[k].replace(", 6) as f_", ", 15) as f_").replace(", 5) as f_", ", 15) as f_").replace(", 5) as roro", ", 15) as roro") for k in ("risk_features", "ema_trend", "adx_roro")}
+_CLIP = "greatest(-1, least(1, {0}))"
+SQL["roro_composite"] = f"""with rf as ({_FINE['risk_features']}), et as (select symbol, ts, f_trend from ({_FINE['ema_trend']})), rd as ({_FINE['adx_roro']}), {H},
+ p as (select symbol, ts, row_number() over {_W.replace('window w as ', '')} as seen, min(case when high = low then 1 else 0 end) over {_W.replace('window w as ', '')} = 1 as flat from bars),
+ x as (select p.*, f_trend, f_momentum, f_vol_regime, f_drawdown, f_dir_volume, {_CLIP.format("(case when seen >= 42 then coalesce(roro_adx, 25) else 25 end - 25) / 25")} as f_adx_strength,
+   {_CLIP.format("case when seen >= 42 then roro_di_plus - roro_di_minus else 0 end / 30")} as f_di_spread from p join rf using (symbol, ts) join et using (symbol, ts) join rd using (symbol, ts)),
+ y as (select *, len(list_filter([f_trend, f_momentum, f_vol_regime, f_drawdown, f_dir_volume], lambda v: v > 0)) + case when flat then 0 else len(list_filter([f_adx_strength, f_di_spread], lambda v: v > 0)) end as n from x)
+ select symbol, ts, round(f_trend, 4) + 0::double as f_trend, round(f_momentum, 4) + 0::double as f_momentum, round(f_vol_regime, 4) + 0::double as f_vol_regime, round(f_drawdown, 4) + 0::double as f_drawdown, round(f_dir_volume, 4) + 0::double as f_dir_volume,
+   round(f_adx_strength, 4) + 0::double as f_adx_strength, round(f_di_spread, 4) + 0::double as f_di_spread, n as n_positive,
+   round((f_trend + f_momentum + f_vol_regime + f_drawdown + f_dir_volume + case when flat then 0 else f_adx_strength + f_di_spread end) / case when flat then 5 else 7 end, 4) + 0::double as roro_composite, n >= 4 as vote_4 from y"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars as B, indicators as I, levels as L
+from tidemark.operators import indicators as I, levels as L
 from tidemark.operators.lineage import stored
 from tidemark.plans.series import H, hourly, rounded
 
