@@ -9,8 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def _sql(text: str, **frames: DataFrame) -> DataFrame:
-    return next(iter(frames.values())).sparkSession.sql(text, **frames)
+def _sql(text: str, **frames: DataFrame | str) -> DataFrame:
+    """``text`` over the frames it names in braces; a frame given as text is a step over those before it.
+
+    Steps take the place of WITH where a result may be used several times in one plan: Spark tells the definitions of a
+    WITH by a number that all copies share, and mixes them up when it puts them in (an error, depending on the plan's ids).
+    """
+    session, known = next(f for f in frames.values() if isinstance(f, DataFrame)).sparkSession, {}
+    for name, f in frames.items():
+        known[name] = session.sql(f, **known) if isinstance(f, str) else f
+    return session.sql(text, **known)
 
 
 def _numbered(bars: DataFrame) -> DataFrame:
@@ -234,22 +242,22 @@ def touch_levels(bars: DataFrame, close_tol: float = 0.005, wick_tol: float = 0.
     for f in found[1:]:
         union = union.unionByName(f)
     grouped = gap_clusters(union.distinct(), f"(x - y) / nullif(y, 0) >= {wick_tol}")
+    # bars meet levels by bins of the price's logarithm, as wide as the tolerance
     return _sql(
-        f"""with l as (select symbol, cluster, percentile(price, 0.5) as level from {{grouped}} group by symbol, cluster),
-            -- bars meet levels by bins of the price's logarithm, as wide as the tolerance
-            lb as (select *, if(level > 0, cast(floor(ln(level) / {wick_tol}) as bigint), 0L) as bin from l),
-            bb as (select *, explode(if(low > 0, sequence(cast(floor(ln(low / {1 + wick_tol}) / {wick_tol}) as bigint) - 1, cast(floor(ln(high / {1 - wick_tol}) / {wick_tol}) as bigint) + 1), array(0L))) as bin from {{bars}}),
-            t as (select l.symbol, l.level, b.i, b.n, exp(-ln(2) * (b.n - 1 - b.i) / greatest(b.n div 3, 5)) as recent,
-                case when abs(b.close - level) <= level * {close_tol} then 1.0 when abs(b.open - level) <= level * {close_tol} then 0.7
-                  when b.low between level - level * {wick_tol} and level then 0.3 when b.high between level and level + level * {wick_tol} then 0.3 end as weight
-              from lb l join bb b on b.symbol = l.symbol and b.bin = l.bin and b.low <= level * {1 + wick_tol} and b.high >= level * {1 - wick_tol}),
-            s as (select symbol, level, sum(weight * recent) as score, count(*) as touches, avg(recent) as recency, max_by(i, struct(weight * recent, -i)) as anchor_bar from t where weight is not null group by symbol, level),
-            c as (select symbol, max_by(close, i) as price from {{bars}} group by symbol)
-            select s.symbol, level as price, if(level < c.price, 'support', 'resistance') as side,
+        f"""select s.symbol, level as price, if(level < c.price, 'support', 'resistance') as side,
               round(least(1.0, 0.6 * score / greatest(0.01, max(score) over (partition by s.symbol)) + 0.4 * recency), 4) as strength, touches, round(recency, 4) as recency, anchor_bar
-            from s join c on c.symbol = s.symbol where score >= {least}""",
+            from {{s}} s join {{c}} c on c.symbol = s.symbol where score >= {least}""",
         grouped=grouped,
         bars=_numbered(bars),
+        l="select symbol, cluster, percentile(price, 0.5) as level from {grouped} group by symbol, cluster",
+        lb=f"select *, if(level > 0, cast(floor(ln(level) / {wick_tol}) as bigint), 0L) as bin from {{l}}",
+        bb=f"""select *, explode(if(low > 0, sequence(cast(floor(ln(low / {1 + wick_tol}) / {wick_tol}) as bigint) - 1, cast(floor(ln(high / {1 - wick_tol}) / {wick_tol}) as bigint) + 1), array(0L))) as bin from {{bars}}""",
+        t=f"""select l.symbol, l.level, b.i, b.n, exp(-ln(2) * (b.n - 1 - b.i) / greatest(b.n div 3, 5)) as recent,
+                case when abs(b.close - level) <= level * {close_tol} then 1.0 when abs(b.open - level) <= level * {close_tol} then 0.7
+                  when b.low between level - level * {wick_tol} and level then 0.3 when b.high between level and level + level * {wick_tol} then 0.3 end as weight
+              from {{lb}} l join {{bb}} b on b.symbol = l.symbol and b.bin = l.bin and b.low <= level * {1 + wick_tol} and b.high >= level * {1 - wick_tol}""",
+        s="select symbol, level, sum(weight * recent) as score, count(*) as touches, avg(recent) as recency, max_by(i, struct(weight * recent, -i)) as anchor_bar from {t} where weight is not null group by symbol, level",
+        c="select symbol, max_by(close, i) as price from {bars} group by symbol",
     )
 
 
