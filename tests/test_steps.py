@@ -50,3 +50,12 @@ def test_body_anchors(spark, bars, atr):
     low = spark.createDataFrame([("z", dt.datetime(2024, 1, 1, k), 5.0 - 4 * (k == 1), 9.0, 0.5, 5.0, 1.0) for k in range(3)], bars.schema)
     zero = spark.createDataFrame([("z", 0.0, "support")], "symbol string, price double, side string")
     assert rows(Z.body_anchors(zero, low, spark.createDataFrame([("z", 3.0)], "symbol string, atr double")), "anchor", "snap_pct") == [(1.0, float("inf"))]
+
+
+def test_structure_levels(bars, atr):
+    points = L.swings(bars, atr)
+    got = L.structure_levels(L.swing_roles(points), L.break_counts(points, bars, atr))
+    assert repeated(got) == []
+    # the low at bar 88, the last one, is shielded and has no breaks
+    left = rows(got.where("bar = 88 and source = 'body'"), "symbol", "price", "side", "flipped", "touches")
+    assert left == [(s, 100.0, "support", False, 1) for s in "ab"]

@@ -76,14 +76,14 @@ def swings(bars: DataFrame, atr: DataFrame, window: int = 5, apart: float = 1.0)
     body = _fractal(bars, "top", "bottom", window // 2)
     # the nearest body swings in price, below and above, instead of a comparison with all of them
     wick = _sql(
-        f"""with u as (select symbol, i, n, kind, price, false as body from {{wick}} union all select symbol, i, n, kind, price, true from {{body}}),
-            m as (select *, max(if(body, price, null)) over (partition by symbol order by price range between unbounded preceding and current row) as below,
-                min(if(body, price, null)) over (partition by symbol order by price range between current row and unbounded following) as above from u)
-            select m.symbol, i, n, kind, price from m join {{atr}} a on a.symbol = m.symbol
+        f"""select m.symbol, i, n, kind, price from {{m}} m join {{atr}} a on a.symbol = m.symbol
             where not body and not coalesce(price - below < a.atr * {apart}, false) and not coalesce(above - price < a.atr * {apart}, false)""",
         body=body,
         wick=_fractal(bars, "high", "low", window // 2),
         atr=atr,
+        u="select symbol, i, n, kind, price, false as body from {wick} union all select symbol, i, n, kind, price, true from {body}",
+        m="""select *, max(if(body, price, null)) over (partition by symbol order by price range between unbounded preceding and current row) as below,
+                min(if(body, price, null)) over (partition by symbol order by price range between current row and unbounded following) as above from {u}""",
     )
     return _sql(
         "select symbol, i, n, kind, price, 'body' as source from {body} union all select symbol, i, n, kind, price, 'wick' from {wick}",
@@ -98,11 +98,11 @@ def swing_roles(points: DataFrame) -> DataFrame:
     It turns structure (CHOCH) when an HH or LL has been before and the swing before it points the other way.
     """
     return _sql(
-        """with r as (select *, case when kind = 'high' then if(coalesce(price > before, true), 'HH', 'LH') else if(coalesce(price > before, true), 'HL', 'LL') end as role
-             from (select *, lag(price) over (partition by symbol, kind order by i, source) as before from {points})),
-           o as (select *, if(role in ('HH', 'HL'), 1, -1) as side, max(if(role in ('HH', 'LL'), 1, 0)) over (partition by symbol order by i, kind, source rows between unbounded preceding and 1 preceding) as known from r)
-           select symbol, i, n, kind, price, source, role, if(known = 1 and lag(side) over (partition by symbol order by i, kind, source) <> side, 'CHOCH', 'BOS') as structural from o""",
+        "select symbol, i, n, kind, price, source, role, if(known = 1 and lag(side) over (partition by symbol order by i, kind, source) <> side, 'CHOCH', 'BOS') as structural from {o}",
         points=points,
+        r="""select *, case when kind = 'high' then if(coalesce(price > before, true), 'HH', 'LH') else if(coalesce(price > before, true), 'HL', 'LL') end as role
+             from (select *, lag(price) over (partition by symbol, kind order by i, source) as before from {points})""",
+        o="select *, if(role in ('HH', 'HL'), 1, -1) as side, max(if(role in ('HH', 'LL'), 1, 0)) over (partition by symbol order by i, kind, source rows between unbounded preceding and 1 preceding) as known from {r}",
     )
 
 
@@ -121,14 +121,14 @@ def _sums_beyond(lines: DataFrame, bars: DataFrame, near: int = 6) -> DataFrame:
         bars=bars,
     )
     far = _sql(
-        f"""with a as (select symbol, i, kind, source, line as value, cast(null as double) as weight, explode(transform(filter({ranges},
-                l -> shiftright(i, l) % 2 = 0 and shiftleft(shiftright(i, l) + 1, l) < n), l -> struct(l as level, shiftright(i, l) + 1 as place))) as x from {{lines}}),
-            b as (select symbol, close, weight, explode(transform(filter({ranges}, l -> shiftright(i, l) % 2 = 1), l -> struct(l as level, shiftright(i, l) as place))) as x from {{bars}}),
-            u as (select * from a union all select symbol, cast(null as bigint), 'high', null, close, weight, x from b union all select symbol, null, 'low', null, close, weight, x from b),
-            r as (select *, sum(weight) over (partition by symbol, kind, x.level, x.place order by if(kind = 'high', -value, value), if(weight is null, 0, 1) rows unbounded preceding) as upto from u)
-            select symbol, i, kind, source, sum(upto) as w from r where weight is null group by symbol, i, kind, source""",
+        "select symbol, i, kind, source, sum(upto) as w from {r} where weight is null group by symbol, i, kind, source",
         lines=lines,
         bars=bars,
+        a=f"""select symbol, i, kind, source, line as value, cast(null as double) as weight, explode(transform(filter({ranges},
+                l -> shiftright(i, l) % 2 = 0 and shiftleft(shiftright(i, l) + 1, l) < n), l -> struct(l as level, shiftright(i, l) + 1 as place))) as x from {{lines}}""",
+        b=f"select symbol, close, weight, explode(transform(filter({ranges}, l -> shiftright(i, l) % 2 = 1), l -> struct(l as level, shiftright(i, l) as place))) as x from {{bars}}",
+        u="select * from {a} union all select symbol, cast(null as bigint), 'high', null, close, weight, x from {b} union all select symbol, null, 'low', null, close, weight, x from {b}",
+        r="select *, sum(weight) over (partition by symbol, kind, x.level, x.place order by if(kind = 'high', -value, value), if(weight is null, 0, 1) rows unbounded preceding) as upto from {u}",
     )
     return first.unionByName(far)
 
@@ -142,12 +142,12 @@ def break_counts(points: DataFrame, bars: DataFrame, atr: DataFrame, beyond: flo
     of the least of ``in_a_row`` closes).
     """
     rows = _sql(
-        f"""with v as (select *, least(volume / greatest(avg(volume) over (partition by symbol), 1e-12), {most_volume}) as weight from {{bars}}),
-            r as (select *, if(count(*) over w = {in_a_row}, min(close) over w, null) as lowest, if(count(*) over w = {in_a_row}, max(close) over w, null) as highest from v
-              window w as (partition by symbol order by i rows between current row and {in_a_row - 1} following))
-            select symbol, cast(i as bigint) as i, n, close, weight, max(lowest) over a as best_high, min(highest) over a as best_low from r
+        """select symbol, cast(i as bigint) as i, n, close, weight, max(lowest) over a as best_high, min(highest) over a as best_low from {r}
               window a as (partition by symbol order by i rows between 1 following and unbounded following)""",
         bars=_numbered(bars),
+        v=f"select *, least(volume / greatest(avg(volume) over (partition by symbol), 1e-12), {most_volume}) as weight from {{bars}}",
+        r=f"""select *, if(count(*) over w = {in_a_row}, min(close) over w, null) as lowest, if(count(*) over w = {in_a_row}, max(close) over w, null) as highest from {{v}}
+              window w as (partition by symbol order by i rows between current row and {in_a_row - 1} following)""",
     )
     lines = _sql(
         f"""select p.symbol, cast(p.i as bigint) as i, p.n, p.kind, p.source, p.price, p.price + if(p.kind = 'high', {beyond}, -{beyond}) * a.atr as line, p.i = max(p.i) over (partition by p.symbol, p.kind) as newest
@@ -349,15 +349,15 @@ def structure_levels(roles: DataFrame, breaks: DataFrame, half_life: float = 30.
     """
     # Fixed values in the text: base strengths by role and how they fall with breaks.
     return _sql(
-        f"""with j as (select r.*, b.breaks, b.killed, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
-              on b.symbol = r.symbol and b.i = r.i and b.kind = r.kind and b.source = r.source),
-            a as (select *, explode(filter(array(
-                struct(false as flipped, not killed and breaks < 3 as here, case when structural = 'CHOCH' then 0.85D when role in ('HL', 'LH') then 0.65D else 0.45D end as base,
-                  case when breaks >= 3 then 0.1D when breaks <= 0 then 1.0D else greatest(0.1D, 1 - 0.3D * breaks) end as left, 1 + cast(floor(breaks) as bigint) as touches),
-                struct(true as flipped, breaks >= 2 as here, 0.30D as base, 1.0D as left, 1L as touches)), x -> x.here)) as x from j)
-            select symbol, i as bar, price, source, if((kind = 'low') <> x.flipped, 'support', 'resistance') as side, x.flipped as flipped, if(x.flipped, 'flip', if(structural = 'CHOCH', 'CHOCH', role)) as role,
+        """select symbol, i as bar, price, source, if((kind = 'low') <> x.flipped, 'support', 'resistance') as side, x.flipped as flipped, if(x.flipped, 'flip', if(structural = 'CHOCH', 'CHOCH', role)) as role,
               if(x.flipped, if(kind = 'high', 'flipped_resistance', 'flipped_support'), concat(role, '_', structural)) as structural, round(recency, 4) as recency,
-              round((x.base * w * 0.7D + recency * 0.3D) * x.left + 1e-9D, 4) as strength, x.touches as touches from a""",
+              round((x.base * w * 0.7D + recency * 0.3D) * x.left + 1e-9D, 4) as strength, x.touches as touches from {a}""",
         roles=roles,
         breaks=breaks,
+        j=f"""select r.*, b.breaks, b.killed, exp(-(r.n - 1 - r.i) / {half_life}) as recency, if(r.source = 'wick', 0.85D, 1.0D) as w from {{roles}} r join {{breaks}} b
+              on b.symbol = r.symbol and b.i = r.i and b.kind = r.kind and b.source = r.source""",
+        a="""select *, explode(filter(array(
+                struct(false as flipped, not killed and breaks < 3 as here, case when structural = 'CHOCH' then 0.85D when role in ('HL', 'LH') then 0.65D else 0.45D end as base,
+                  case when breaks >= 3 then 0.1D when breaks <= 0 then 1.0D else greatest(0.1D, 1 - 0.3D * breaks) end as left, 1 + cast(floor(breaks) as bigint) as touches),
+                struct(true as flipped, breaks >= 2 as here, 0.30D as base, 1.0D as left, 1L as touches)), x -> x.here)) as x from {j}""",
     )
